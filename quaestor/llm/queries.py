@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import bpe, decontaminate, html_extract, lm, pii, quality, simhash, toxicity, url_filter
+from quaestor.llm import ann, bpe, decontaminate, html_extract, lm, pii, quality, simhash, toxicity, url_filter
 from quaestor.llm.common import crc_mod, table
 
 TOKENIZER = os.environ.get("QUAESTOR_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -75,7 +79,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_html_extract, op2_simhash_near_dedup, op4_toxicity, op5_bpe, op6_url_filter, op7_quality, op8_decontaminate, op9_pii, op10_lm,
+        op1_html_extract, op2_simhash_near_dedup, op3_ann, op4_toxicity, op5_bpe, op6_url_filter, op7_quality, op8_decontaminate, op9_pii, op10_lm,
     )
 }
 ORACLES: dict[str, str] = {}
