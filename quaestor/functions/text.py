@@ -84,7 +84,7 @@ def human_size(size: Column) -> Column:
     """Bytes in binary units with one decimal."""
     units = F.array(*(F.lit(u) for u in ("bytes", "KiB", "MiB", "GiB", "TiB", "PiB")))
     order = F.when(size > 0, F.least(F.floor(F.log2(size.cast("double")) / 10), F.lit(5))).otherwise(0).cast("int")
-    return F.concat(F.format_string("%.1f", size / F.pow(F.lit(1024.0), order)), F.lit(" "), F.get(units, order))
+    return F.concat(F.format_string("%.1f", F.bround(size / F.pow(F.lit(1024.0), order), 1)), F.lit(" "), F.get(units, order))
 
 
 # Rewrites of legal bases, applied in order, each to what the one before left.

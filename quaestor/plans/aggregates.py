@@ -143,9 +143,10 @@ def top_messages(t: Tables) -> DataFrame:
     return logs.top_messages(t.events, "props", 10)
 
 
-@query("""select l_orderkey, arg_min(l_shipdate, l_linenumber) as l_shipdate, count(*) as n, min(l_partkey) as low, max(l_partkey) as high from lineitem group by l_orderkey""")
+@query("""select l_orderkey, arg_min(l_shipdate, (l_linenumber, l_partkey, l_extendedprice)) as l_shipdate, count(*) as n, min(l_partkey) as low, max(l_partkey) as high from lineitem group by l_orderkey""")
 def nest_rows(t: Tables) -> DataFrame:
-    rows = rollup.nested(t.lineitem, ["l_orderkey"], ["l_shipdate"], ["l_partkey"], "l_linenumber")
+    lines = t.lineitem.withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_extendedprice"))
+    rows = rollup.nested(lines, ["l_orderkey"], ["l_shipdate"], ["l_partkey"], "pos")
     parts = F.transform("items", lambda i: i.l_partkey)
     return rows.select("l_orderkey", "l_shipdate", F.size("items").cast("long").alias("n"), F.array_min(parts).alias("low"), F.array_max(parts).alias("high"))
 

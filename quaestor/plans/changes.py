@@ -33,15 +33,15 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return history.snapshot_diff(c.where(k % 11 != 0), new, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("""with items as (select * from (values ('5', 'dossier', 1, null), ('PROMO', 'subject', 1, ''), ('PROMO', 'subjects', 2, null), ('part 3', 'search', 3, null), ('9', 'dossier', 2, 'pending')) i(name, type, group_id, activation_key)),
+@query("""with items as (select * from (values ('5', 'dossier', 1, null), ('PROMO', 'subject', 1, ''), ('PROMO', 'subjects', 2, null), ('ring small', 'search', 3, null), ('9', 'dossier', 2, 'pending')) i(name, type, group_id, activation_key)),
 people as (select * from (values (1, 'a@example.org', null), (2, 'b@example.org', ''), (3, 'c@example.org', null), (3, 'd@example.org', 'pending')) p(group_id, email, activation_key)),
 live as (select * from items where coalesce(activation_key, '') = ''), who as (select * from people where coalesce(activation_key, '') = ''),
 hits as (select p_partkey::varchar as key, group_id from part join live on name = p_partkey::varchar
 union all select p_partkey::varchar, group_id from part join live on type in ('subject', 'subjects') and list_contains(string_split(p_type, ' '), name)
-union all select p_partkey::varchar, group_id from part join live on type = 'search' and contains(lower(p_name), 'part') and contains(lower(p_name), '3'))
+union all select p_partkey::varchar, group_id from part join live on type = 'search' and contains(lower(p_name), 'ring') and contains(lower(p_name), 'small'))
 select distinct key, email from hits join who using (group_id)""")
 def subscription_match(t: Tables) -> DataFrame:
-    items = [("5", "dossier", 1, None), ("PROMO", "subject", 1, ""), ("PROMO", "subjects", 2, None), ("part 3", "search", 3, None), ("9", "dossier", 2, "pending")]
+    items = [("5", "dossier", 1, None), ("PROMO", "subject", 1, ""), ("PROMO", "subjects", 2, None), ("ring small", "search", 3, None), ("9", "dossier", 2, "pending")]
     people = [(1, "a@example.org", None), (2, "b@example.org", ""), (3, "c@example.org", None), (3, "d@example.org", "pending")]
     changed = t.part.select(F.col("p_partkey").cast("string").alias("key"), F.split("p_type", " ").alias("subjects"), "p_name")
     items_df = t.spark.createDataFrame(items, "name string, type string, group_id int, activation_key string")

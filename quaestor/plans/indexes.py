@@ -105,18 +105,18 @@ def search_and_terms(t: Tables) -> DataFrame:
 
 
 @query("""with exact as (select p_partkey, p_name from part where lower(p_name) = 'no such part'),
-loose as (select p_partkey, p_name from part where contains(lower(p_name), 'part') and contains(lower(p_name), '1') and not exists (select 1 from exact))
+loose as (select p_partkey, p_name from part where contains(lower(p_name), 'red') and contains(lower(p_name), 'i') and not exists (select 1 from exact))
 select * from exact union all select * from loose""")
 def search_fallback(t: Tables) -> DataFrame:
     p = t.part.select("p_partkey", "p_name")
-    return search.exact_or_pattern(p, search.normal_name(F.col("p_name")) == "nosuchpart", search.has_terms(F.col("p_name"), "part 1"))
+    return search.exact_or_pattern(p, search.normal_name(F.col("p_name")) == "nosuchpart", search.has_terms(F.col("p_name"), "I red"))
 
 
-CHOSEN = {"p_brand": ["Brand#11", "Brand#12", "Brand#13"], "p_size": [1, 2, 3, 4, 5, 10, 20, 30]}
+CHOSEN = {"p_brand": ["Brand#1", "Brand#2", "Brand#3"], "p_size": [1, 2, 3, 4, 5, 10, 20, 30]}
 
 
 @query("""select 'p_brand' as facet, p_brand as value, count(*) as n from part where p_size in (1,2,3,4,5,10,20,30) group by p_brand
-union all select 'p_size', p_size::varchar, count(*) from part where p_brand in ('Brand#11','Brand#12','Brand#13') group by p_size
-union all select 'p_type', p_type, count(*) from part where p_brand in ('Brand#11','Brand#12','Brand#13') and p_size in (1,2,3,4,5,10,20,30) group by p_type""")
+union all select 'p_size', p_size::varchar, count(*) from part where p_brand in ('Brand#1','Brand#2','Brand#3') group by p_size
+union all select 'p_type', p_type, count(*) from part where p_brand in ('Brand#1','Brand#2','Brand#3') and p_size in (1,2,3,4,5,10,20,30) group by p_type""")
 def faceted_filter(t: Tables) -> DataFrame:
     return search.facet_values(t.part, ["p_brand", "p_size", "p_type"], CHOSEN)

@@ -117,22 +117,22 @@ def nested_enrichment(t: Tables) -> DataFrame:
     return nested.select("o_orderkey", F.size("shadows").cast("long").alias("n"), F.array_min("shadows").alias("low"), F.array_max("shadows").alias("high"))
 
 
-@query("""with a as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) as pos, l_partkey as pa from lineitem where l_returnflag = 'A'),
-b as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) as pos, l_partkey as pb from lineitem where l_returnflag = 'R')
+@query("""with a as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as pos, l_partkey as pa from lineitem where l_returnflag = 'A'),
+b as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as pos, l_partkey as pb from lineitem where l_returnflag = 'R')
 select l_orderkey, pos, pa, pb from a full outer join b using (l_orderkey, pos)""")
 def positional_full_outer(t: Tables) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     a = t.lineitem.where("l_returnflag = 'A'").select("l_orderkey", at.alias("pos"), F.col("l_partkey").alias("pa"))
     b = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", at.alias("pos"), F.col("l_partkey").alias("pb"))
     return rollup.zipped(a, b, ["l_orderkey"])
 
 
-@query("""with v as (select p_partkey, unnest(regexp_extract_all(p_name, '[0-9]+')) as seq from part)
-select v.p_partkey, s.s_suppkey, s.s_name from v join supplier s on s.s_suppkey = try_cast(v.seq as bigint)""")
+@query("""with v as (select c_custkey, unnest(regexp_extract_all(c_name, '[0-9]+')) as seq from customer)
+select v.c_custkey, s.s_suppkey, s.s_name from v join supplier s on s.s_suppkey = try_cast(v.seq as bigint)""")
 def regex_list_join(t: Tables) -> DataFrame:
-    v = t.part.select("p_partkey", F.explode(F.regexp_extract_all("p_name", F.lit("[0-9]+"), F.lit(0))).alias("seq"))
+    v = t.customer.select("c_custkey", F.explode(F.regexp_extract_all("c_name", F.lit("[0-9]+"), F.lit(0))).alias("seq"))
     s = t.supplier.select("s_suppkey", "s_name")
-    return v.join(s, F.col("s_suppkey") == F.col("seq").try_cast("long")).select("p_partkey", "s_suppkey", "s_name")
+    return v.join(s, F.col("s_suppkey") == F.col("seq").try_cast("long")).select("c_custkey", "s_suppkey", "s_name")
 
 
 @query("""select o_orderkey, coalesce(s.s_name, p.p_name, c.c_name) as found from orders
@@ -162,9 +162,9 @@ def set_intersect(t: Tables) -> DataFrame:
     return rows.where("l_returnflag = 'A'").select("k").intersect(rows.where("l_returnflag = 'R'").select("k"))
 
 
-@query("select c_nationkey as k from customer except select s_nationkey from supplier")
+@query("select c_custkey as k from customer except select s_suppkey from supplier")
 def set_except(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.select("s_nationkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.supplier.select("s_suppkey"))
 
 
 @query("select c_nationkey as k from customer union select s_nationkey from supplier")

@@ -100,9 +100,9 @@ def segment_by_marker(t: Tables) -> DataFrame:
 
 
 @query("""select l_orderkey, header, count(*) as n, round(sum(l_quantity), 2) as quantity from (select l_orderkey, l_quantity,
-last_value(case when l_linenumber % 3 = 1 then l_shipdate end ignore nulls) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and current row) as header from lineitem) group by 1, 2""")
+last_value(case when l_linenumber % 3 = 1 then l_shipdate end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice rows between unbounded preceding and current row) as header from lineitem) group by 1, 2""")
 def forward_fill_group(t: Tables) -> DataFrame:
-    rows = ordered.forward_fill(t.lineitem, ["l_orderkey"], ["l_linenumber"], F.when(F.col("l_linenumber") % 3 == 1, F.col("l_shipdate")), "header")
+    rows = ordered.forward_fill(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], F.when(F.col("l_linenumber") % 3 == 1, F.col("l_shipdate")), "header")
     return rows.groupBy("l_orderkey", "header").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 

@@ -77,10 +77,10 @@ def base26_ordinal(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", text.base26(F.left("n_name", F.lit(2))).alias("ordinal"))
 
 
-@query("""select p_partkey, generate_subscripts(a, 1)::int as pos, unnest(a) as word, unnest(b) as other from (select p_partkey, string_split(p_type, ' ') as a,
-list_resize(string_split(p_name, ' '), greatest(len(string_split(p_type, ' ')), len(string_split(p_name, ' ')))) as b from part) where len(a) >= len(b)""")
+@query("""select p_partkey, generate_subscripts(a, 1)::int as pos, unnest(a) as word, unnest(b) as other from (select p_partkey, string_split(p_name, ' ') as a,
+list_resize(string_split(p_type, ' '), greatest(len(string_split(p_type, ' ')), len(string_split(p_name, ' ')))) as b from part) where len(a) >= len(b)""")
 def arrays_zip_pairs(t: Tables) -> DataFrame:
-    a, b = F.split("p_type", " "), F.split("p_name", " ")
+    a, b = F.split("p_name", " "), F.split("p_type", " ")
     rows = t.part.where(F.size(a) >= F.size(b)).select("p_partkey", F.posexplode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("pos", "z"))
     return rows.select("p_partkey", (F.col("pos") + 1).alias("pos"), F.col("z.a").alias("word"), F.col("z.b").alias("other"))
 
