@@ -46,6 +46,8 @@ ENDS_P = set(
 )
 _KIND = {t: k for k, ts in enumerate(("", "p", "h1 h2 h3 h4 h5 h6", "li dd dt td th tr", "ul ol dl table tbody", "article main", "nav menu", "header footer", "aside", "form fieldset", "section div body html", "#text")) for t in ts.split()}
 
+_PARTS = set("article main section aside nav header footer form ul ol table menu dialog".split())
+
 _tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 _attr = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _names = re.compile(r"[a-z]+|[0-9]+")
@@ -199,11 +201,17 @@ def _features(page: Page) -> list[list[int]]:
             for x in (size, link, below):
                 x[page.parent[i]] += x[i]
     whole, before, out = max(1, size[0]), 0, []
+    around: list[tuple] = [()] * n  # what the nearest part of the page that a node stands in says of itself
     for i in range(n):
         tag, up = page.tag[i], page.tag[page.parent[i]] if i else ""
+        if tag in _PARTS or page.words[i]:
+            around[i] = (f"a:{tag}", *(f"w:{w}" for w in page.words[i]))
+        elif i:
+            around[i] = around[page.parent[i]]
         share = 4 * link[i] // max(1, size[i])
         f = [f"t:{tag}", f"l:{min(share, 4)}", f"s:{_bucket(size[i])}", f"k:{_KIND.get(tag, 0)}:{min(share, 4)}", f"f:{4 * size[i] // whole}:{_KIND.get(tag, 0)}"]
         f += [f"c:{w}" for w in page.words[i]]
+        f += around[i]
         if tag == "#text":
             t = page.text[i]
             marks = sum(t.count(c) for c in ".!?,;")
