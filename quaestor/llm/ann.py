@@ -179,6 +179,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     pairs = visits.select("shard", "block").distinct()
     entries = entries.join(sizes, "bucket").withColumn("sub", F.pmod(F.xxhash64("key"), F.col("splits")))
     entries = entries.select("key", "bucket", "raw", shard.alias("shard")).join(pairs, "shard")
+    entries = entries.select("key", "bucket", "raw", F.col("shard").alias("s"), F.col("block").alias("b"))
     visits = visits.join(queries.select(F.col("key").alias("query"), "v"), "query")
     most = near + 1
 
@@ -209,7 +210,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                     out += zip(itertools.repeat(asking[i]), keys[at[best]], score[best], strict=False)
         return pd.DataFrame(out, columns=["query", "key", "score"]).astype({"query": "int64", "key": "int64", "score": "float64"})
 
-    found = entries.groupBy("shard", "block").cogroup(visits.groupBy("shard", "block")).applyInPandas(search, "query long, key long, score double")
+    found = entries.groupBy("s", "b").cogroup(visits.groupBy("shard", "block")).applyInPandas(search, "query long, key long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     merged = found.groupBy("query", "key").agg(F.max("score").alias("score")).withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= most)
     every = merged.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id")).distinct()
