@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
+PERSON = StructType().add("title", StringType()).add("sur", StringType()).add("family", StringType()).add("aliases", ArrayType(StringType()))
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
@@ -20,7 +22,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     """A name as it is compared: ß as ss, without accents, other non-ASCII characters and white space, in lower case."""
 
@@ -144,7 +146,7 @@ def ciphered(text: Column, plain: str, cipher: str) -> Column:
     return F.translate(text, plain, cipher)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """HTML with <del> and <ins> around what differs, word by word."""
 
@@ -167,7 +169,7 @@ def highlighted(text: Column, query: str) -> Column:
     return F.array_join(words, " ")
 
 
-@F.pandas_udf("struct<title:string,sur:string,family:string,aliases:array<string>>")
+@F.pandas_udf(PERSON)
 def person_name(names: pd.Series) -> pd.DataFrame:
     """A full name's title, given names, family name (from the first upper-case word or particle) and aliases."""
     particles, titles = {"de", "van", "von", "del"}, {"Dr", "Dr.", "Prof", "Prof.", "Sir", "Lord", "Baroness"}
