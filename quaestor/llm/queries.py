@@ -82,4 +82,19 @@ QUERIES = {
         op1_html_extract, op2_simhash_near_dedup, op3_ann, op4_toxicity, op5_bpe, op6_url_filter, op7_quality, op8_decontaminate, op9_pii, op10_lm,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+
+def _shingled(table_: str, key: str) -> str:
+    """Distinct (key, s) five-word shingles; fewer words are one shingle."""
+    words = f"select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from {table_} where text is not null"
+    grams = "case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
+    return f"select distinct {key}, unnest({grams}) as s from ({words}) where len(w) > 0"
+
+
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": f"""with d as ({_shingled('documents', 'doc_id')}), i as ({_shingled('benchmark', 'item_id')}),
+n as (select item_id, count(*) as item_shingles from i group by item_id),
+f as (select doc_id, item_id, count(*) as found from i join d using (s) group by doc_id, item_id)
+select doc_id, item_id, item_shingles, found, found / item_shingles::double as containment from f join n using (item_id) where found >= 0.8 * item_shingles""",
+}
