@@ -192,3 +192,45 @@ def person_name(names: pd.Series) -> pd.DataFrame:
         return lead or None, sur, fam, list(dict.fromkeys(" ".join(f.split()) for f in forms if f.strip()))
 
     return pd.DataFrame([one(n) for n in names], columns=["title", "sur", "family", "aliases"])
+
+
+def document_number(url: Column) -> Column:
+    """PE number of a document's url, in either of two styles; null if it has none."""
+    dotted, dashed = r"PE[-_ ]?([0-9]{3})\.([0-9]{3})", r"PE[-_]?([0-9]{3})([0-9]{3})"
+    for_dots = F.concat(F.lit("PE"), F.regexp_extract(url, dotted, 1), F.lit("."), F.regexp_extract(url, dotted, 2))
+    plain = F.concat(F.lit("PE"), F.regexp_extract(url, dashed, 1), F.lit("."), F.regexp_extract(url, dashed, 2))
+    return F.when(url.rlike(dotted), for_dots).when(url.rlike(dashed), plain)
+
+
+def document_reference(url: Column) -> Column:
+    """A9-0001/2020 of a url that ends in A-9-2020-0001_EN.html, RC-B9-0001/2020 of one of a joint motion."""
+    pattern = r"(RC|A|B)-([0-9])-([0-9]{4})-([0-9]{4})"
+    kind, term, year, number = (F.regexp_extract(url, pattern, i) for i in range(1, 5))
+    head = F.when(kind == "RC", "RC-B").otherwise(kind)
+    return F.when(url.rlike(pattern), F.concat(head, term, F.lit("-"), number, F.lit("/"), year))
+
+
+def phone(text: Column) -> Column:
+    """A number with its international prefix: 0(0) 32 and 32 as +32."""
+    return F.regexp_replace(F.regexp_replace(text, r"^0\(0\)|^00", "+"), r"^(32|33)(?=\s|[0-9]{6,})", "+$1")
+
+
+def zip_city(text: Column) -> Column:
+    """struct(zip, city) of 'B-1047 Brussels'."""
+    pattern = r"^((?:[A-Z]{1,2}-)?[0-9]{4,5})\s+(.*)$"
+    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).alias("zip"), F.regexp_extract(text, pattern, 2).alias("city")))
+
+
+def link(label: Column, path: Column, default: str = "Unknown") -> Column:
+    """An HTML link, the default where there is no label."""
+    return F.format_string('<a href="%s">%s</a>', path, F.coalesce(label, F.lit(default)))
+
+
+def row_number_stripped(text: Column) -> Column:
+    """A table cell without the number that begins it."""
+    return F.regexp_replace(text, r"^\s*[0-9]+[.)]?\s+", "")
+
+
+def token() -> Column:
+    """A random key of 40 hexadecimal digits."""
+    return F.sha1(F.uuid())

@@ -39,3 +39,15 @@ def remaining_groups(groups: DataFrame, *members: DataFrame) -> DataFrame:
     for m in members[1:]:
         out = out.union(m.select("group_id"))
     return groups.join(out.distinct(), F.col("id") == F.col("group_id"), "left_semi")
+
+
+def notices(matched: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(recipient, subject, body), one row a mail: (key, email) of recipients() with (key, title, body) of what changed."""
+    return matched.join(diffs, "key").select(F.col("email").alias("recipient"), F.concat(F.col("key"), F.lit(" "), F.col("title")).alias("subject"), "body")
+
+
+def group_page(items: DataFrame, group: int) -> DataFrame:
+    """(state, type, names): a group's subscriptions, active or pending, by type."""
+    pending = F.col("activation_key").isNotNull() & (F.col("activation_key") != "")
+    rows = items.where(F.col("group_id") == group).select(F.when(pending, "pending").otherwise("active").alias("state"), "type", "name")
+    return rows.groupBy("state", "type").agg(F.array_sort(F.collect_list("name")).alias("names"))
