@@ -6,8 +6,7 @@ heuristic's accuracy for good and for bad text. The posterior of its pattern lab
 scorer on hashed word shapes learns these soft labels from a bounded sample (`sample` documents, chosen
 by a hash of the id) and then scores every document whole. No given label is used.
 
-Nulls: a null text is empty, an empty text has no votes and no shapes and gets the scorer's bias alone.
-Repeated rows are scored each. An empty table gives no rows. Further columns are not read."""
+Nulls: a null text is empty; a text without words has no votes, scores 0 and is not kept. Repeated rows are scored each. An empty table gives no rows. Further columns are not read."""
 
 from __future__ import annotations
 
@@ -176,6 +175,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     parts = 1 << 30
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts))
     chosen = docs.where(part < min(parts, int(parts * sample / total) + 1)).select(F.col(text_col).cast("string").alias("text"))
+    chosen = chosen.where(F.col("text").rlike(r"\S"))
     rows = chosen.mapInArrow(run, "x binary, y double").limit(2 * sample).toArrow()
     if not rows.num_rows:
         return np.zeros(WIDTH + 1)
@@ -198,7 +198,7 @@ def _scored(docs: DataFrame, text_col: str, w: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = np.array([features(t) for t in b.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
+            p = np.where(x.any(1), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40))), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, name])
 
     at = docs.columns.index(text_col)
