@@ -37,7 +37,11 @@ def round_away(x: Column) -> Column:
 
 def heat(df: DataFrame, difference: Column, over: Sequence[str], name: str = "heat") -> DataFrame:
     """The class of each row's difference on a scale of ten spans of its partition; null where all are equal."""
-    w = Window.partitionBy(*over) if over else Window.partitionBy(F.lit(1))
     with_d = df.withColumn("__d", difference)
+    if not over:  # one row of totals instead of one task with all rows
+        span = F.col("__span")
+        with_d = with_d.crossJoin(F.broadcast(with_d.agg((F.max("__d") - F.min("__d")).alias("__span"))))
+        return with_d.withColumn(name, round_away(F.try_divide(F.col("__d") * 10, span))).drop("__d", "__span")
+    w = Window.partitionBy(*over)
     span = F.max("__d").over(w) - F.min("__d").over(w)
     return with_d.withColumn(name, round_away(F.try_divide(F.col("__d") * 10, span))).drop("__d")

@@ -7,11 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.shared import written
+
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """The place of each row in one order, from 1, without a task that sees all rows: rows are dealt into ranges of the order, ranked
+    within, and moved on by the sizes of the ranges before. The order should be total."""
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())
+    before, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "__part int, __before long")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, within + F.col("__before")).drop("__part", "__before")
+
+
 def toggle(df: DataFrame, by: Sequence[str], order: Sequence[str], marker: Column, name: str = "state") -> DataFrame:
     """The last non-null marker at or before each row, 0 before the first."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.operators.ordered import global_rank
+
 
 def pivot_report(acts: DataFrame, key: str, kind: str, kinds: Sequence[str]) -> DataFrame:
     """A row per key with a count per kind, 0 where there is none. The kinds are given, so no job looks for them."""
@@ -35,7 +37,7 @@ def grouped_with_total(df: DataFrame, by: str, kind: str) -> DataFrame:
     """(by, kind, n, total, place): counts per kind, each key's total and the key's place by it, ties to the smaller key."""
     n = df.groupBy(by, kind).agg(F.count("*").alias("n"))
     total = n.withColumn("total", F.sum("n").over(Window.partitionBy(by)))
-    places = total.select(by, "total").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), by)))
+    places = global_rank(total.select(by, "total").distinct(), [F.desc("total"), F.asc(by)])
     return total.join(places.drop("total"), by)
 
 

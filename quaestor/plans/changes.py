@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from quaestor.cdc import history
 from quaestor.functions import text
 from quaestor.operators import subs
 from quaestor.plans.registry import Tables, query
+from quaestor.shared import place
 from quaestor.streaming import jobs
 
 
@@ -97,10 +95,8 @@ def html_text(t: Tables) -> DataFrame:
 
 @query()
 def stream_circuit_breaker(t: Tables) -> DataFrame:
-    spark = t.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    place = f"{root}/breaker-{uuid.uuid4().hex}"
+    spark, at = t.spark, place(t.spark)
     stream = spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 8).parquet(f"{t.sf_dir}/events.parquet*")
     rows = stream.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("error"))
-    jobs.run_available(jobs.breaker(rows), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/out"), f"{place}/state")
-    return spark.read.schema(f"{jobs.OUT}, batch int").parquet(f"{place}/out")
+    jobs.run_available(jobs.breaker(rows), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{at}/out"), f"{at}/state")
+    return spark.read.schema(f"{jobs.OUT}, batch int").parquet(f"{at}/out")

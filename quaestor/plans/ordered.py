@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.operators import ordered, rollup
@@ -111,8 +111,8 @@ def forward_fill_group(t: Tables) -> DataFrame:
 def mixed_key_sort(t: Tables) -> DataFrame:
     seq = F.when(F.col("p_size") % 4 == 0, F.chr(F.col("p_size") + 65)).otherwise(F.col("p_size").cast("string"))
     rows = t.part.select("p_partkey", "p_brand", seq.alias("seq")).withColumn("k", ordered.mixed_key(F.col("seq")))
-    place = F.row_number().over(Window.orderBy(F.desc("p_brand"), "k", "p_partkey"))
-    return rows.select("p_partkey", "seq", "k", place.alias("place"))
+    ranked = ordered.global_rank(rows, [F.desc("p_brand"), F.asc("k"), F.asc("p_partkey")])
+    return ranked.select("p_partkey", "seq", "k", "place")
 
 
 @query("""select line, docs from (select line, count(distinct doc_id) as docs from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> '' group by line) where docs >= 5""")
