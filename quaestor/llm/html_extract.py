@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.common import slices
 
-WIDTH = 1024
+WIDTH = 4096
 KINDS = 12
 
 # Elements by kind.
@@ -201,17 +201,19 @@ def _features(page: Page) -> list[list[int]]:
             for x in (size, link, below):
                 x[page.parent[i]] += x[i]
     whole, before, out = max(1, size[0]), 0, []
-    around: list[tuple] = [()] * n  # what the nearest part of the page that a node stands in says of itself
+    around: list[tuple] = [((), ())] * n  # what the nearest part of the page that a node stands in says of itself, and the part around that
     for i in range(n):
         tag, up = page.tag[i], page.tag[page.parent[i]] if i else ""
         if tag in _PARTS or page.words[i]:
-            around[i] = (f"a:{tag}", *(f"w:{w}" for w in page.words[i]))
+            own = (f"a:{tag}", *(x for w in page.words[i] for x in (f"w:{w}", f"x:{w[:6]}")))
+            around[i] = (own, around[page.parent[i]][0] if i else ())
         elif i:
             around[i] = around[page.parent[i]]
         share = 4 * link[i] // max(1, size[i])
         f = [f"t:{tag}", f"l:{min(share, 4)}", f"s:{_bucket(size[i])}", f"k:{_KIND.get(tag, 0)}:{min(share, 4)}", f"f:{4 * size[i] // whole}:{_KIND.get(tag, 0)}"]
         f += [f"c:{w}" for w in page.words[i]]
-        f += around[i]
+        f += around[i][0]
+        f += [f"+{x}" for x in around[i][1]]
         if tag == "#text":
             t = page.text[i]
             marks = sum(t.count(c) for c in ".!?,;")
@@ -364,7 +366,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         return f'<{tag}{name} data-main="0">{body}</{tag}>'
 
     def article() -> str:
-        blocks = [f"<h1>{sentence(2, 9)}</h1>"] if rnd.random() < 0.8 else []
+        title = f"<h1>{sentence(2, 9)}</h1>"
+        blocks = [rnd.choice([title, title, title, f"<header>{title}</header>", f"<div>{title}</div>"])] if rnd.random() < 0.8 else []
+        if rnd.random() < 0.15:  # text without any block of its own
+            blocks.append(rnd.choice(["{}", "{}<br>{}", "{}<br><br>{}<br>{}"]).format(*(prose() for _ in range(3))))
         if rnd.random() < 0.2:  # many short blocks are no sign of a menu
             blocks += [f"<p>{sentence(1, 5)}" + rnd.choice(["</p>", ""]) for _ in range(rnd.randint(8, 60))]
         for _ in range(rnd.randint(1, 12)):

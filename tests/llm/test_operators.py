@@ -277,3 +277,26 @@ def test_model_is_normalised_and_learns():
 def test_crc(spark):
     got = {r.id: r.c for r in spark.range(50).select("id", crc_mod(F.col("id"), 3).alias("c")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
+
+
+# Pages laid out in ways that the labelled pages don't have.
+LAYOUTS = [
+    (
+        "<div id=header><h1>My Blog</h1><div id=menu><a href=/>Home</a> <a href=/a>About</a></div></div><div id=wrapper><div id=content><div class=post><h2>Post title here</h2><div class=entry-content>"
+        "<p>First paragraph of the post, which is long enough.</p><p>Second paragraph; more text follows here.</p></div></div><div id=comments><h3>2 comments</h3><ol class=commentlist><li><p>Nice post, thanks a lot!</p></li></ol></div></div>"
+        "<div id=sidebar><ul><li><a href=x>Recent one</a></li><li><a href=y>Recent two</a></li></ul><p>About the author of this blog.</p></div></div><div id=footer><p>Copyright 2020 Joe</p></div>",
+        "Post title here First paragraph of the post, which is long enough. Second paragraph; more text follows here.",
+    ),
+    (
+        '<header class="site-header"><nav class="navbar"><ul><li><a href="/">Home</a></li></ul></nav></header><div class="cookie-banner"><p>This site uses cookies to improve. Accept?</p><button>OK</button></div><main><article><header><h1>Title of it</h1></header>'
+        '<p>Body text one is here.</p><aside class="related"><h4>Related</h4><ul><li><a href=q>Other story</a></li></ul></aside><p>Body text two is here, longer.</p><div class="ad-slot">Buy our product now, cheap.</div></article>'
+        '<section class="newsletter"><form><p>Subscribe to us</p><input></form></section></main><footer><p>(c) Company. All rights.</p></footer>',
+        "Title of it Body text one is here. Body text two is here, longer.",
+    ),
+    ("<article>Bare text in article &amp; no paragraphs <span>inline</span>.<br>next line</article><div class=sponsored>Sponsored text.</div>", "Bare text in article & no paragraphs inline. next line"),
+]
+
+
+@pytest.mark.parametrize("page, want", LAYOUTS)
+def test_layouts(page, want):
+    assert html_extract.extract([f"<html><body>{page}</body></html>"], html_extract.trained()) == [want]
