@@ -368,11 +368,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     def article() -> str:
         title = f"<h1>{sentence(2, 9)}</h1>"
         blocks = [rnd.choice([title, title, title, f"<header>{title}</header>", f"<div>{title}</div>"])] if rnd.random() < 0.8 else []
-        if rnd.random() < 0.15:  # text without any block of its own
+        bare = rnd.random() < 0.2
+        if bare:  # text without any block of its own
             blocks.append(rnd.choice(["{}", "{}<br>{}", "{}<br><br>{}<br>{}"]).format(*(prose() for _ in range(3))))
         if rnd.random() < 0.2:  # many short blocks are no sign of a menu
             blocks += [f"<p>{sentence(1, 5)}" + rnd.choice(["</p>", ""]) for _ in range(rnd.randint(8, 60))]
-        for _ in range(rnd.randint(1, 12)):
+        for _ in range(rnd.choice([0, 0, 3]) if bare else rnd.randint(1, 12)):
             blocks.append(
                 rnd.choices(
                     [lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}", lambda: f"<h2>{sentence(1, 6)}</h2><p>{prose()}</p>", lambda: "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>",
