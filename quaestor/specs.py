@@ -38,6 +38,13 @@ KEYS: dict[str, Column | Callable[[], Column]] = {
     "plenary_amendments": lambda: F.col("id"), "votes": lambda: F.col("voteid"), "committee_votes": lambda: F.coalesce("_id", "id"),
     "activities": lambda: F.col("mep_id").cast("string"), "agendas": lambda: F.col("id"),
 }
+# The dump file of each table, the stages of a procedure that is over, the last day of term 4, and
+# the keys of an activity record that are no activity types.
+FILES = {
+    "members": "ep_meps", "dossiers": "ep_dossiers", "amendments": "ep_amendments", "plenary_amendments": "ep_plenary_amendments",
+    "votes": "ep_votes", "committee_votes": "ep_com_votes", "activities": "ep_mep_activities", "agendas": "ep_comagendas",
+}
+NO_ACTIVITY = ("mep_id", "meta", "changes", "WEXP", "WDECL")
 INACTIVE = ("Procedure completed", "Procedure rejected", "Procedure lapsed or withdrawn")
 END_OF_TERM_4 = "1999-07-19"
 
@@ -101,6 +108,24 @@ INDEXES = {
 }
 
 
+_ACTS = SCHEMAS["activities"].split("acts MAP<STRING, ", 1)[1].removesuffix(">")
+
+
+def typed(name: str, doc: Column) -> Column:
+    """A document's JSON text as a row of its table. Fields that come in more than one type are given one: a vote's single
+    reference becomes a list, an activity record's types become entries of one map."""
+    row = F.from_json(doc, SCHEMAS[name])
+    if name == "votes":
+        raw = F.get_json_object(doc, "$.epref")
+        single = F.when(raw.isNotNull() & ~raw.startswith("["), F.array(raw))
+        return row.withField("epref", F.coalesce(F.when(raw.startswith("["), F.from_json(raw, "array<string>")), single))
+    if name == "activities":
+        fields = F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, v: ~k.isin("acts", *NO_ACTIVITY))
+        folded = F.map_filter(F.transform_values(fields, lambda k, v: F.from_json(v, _ACTS)), lambda k, v: v.isNotNull())
+        return row.withField("acts", F.coalesce(row["acts"], folded))
+    return row
+
+
 def build(table: DataFrame, spec: IndexSpec) -> DataFrame:
     """The index's rows: the table's with a column k; the change log is left out."""
     rows = table.where(spec.where()) if spec.where else table

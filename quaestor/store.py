@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from quaestor.operators import interval, lookup, matrix, resolve, search, similarity
 from quaestor.sources import framed
-from quaestor.specs import INDEXES, KEYS, SCHEMAS, build
+from quaestor.specs import FILES, INDEXES, KEYS, SCHEMAS, build, typed
 
 
 class Store:
     """Tables by name, and views over them. Nothing is kept between calls but what the caller caches."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None, folder: str | None = None):
-        """tables: DataFrames with the declared schemas; others are read from framed dumps {folder}/{name}.json, missing ones are empty."""
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None, folder: str | None = None, files: Mapping[str, str] = FILES):
+        """tables: DataFrames with the declared schemas; others are read from framed dumps {folder}/{files[name]}.json, missing ones are empty."""
+        self.spark, self.folder, self.files = spark, folder, files
         self.tables = dict(tables or {})
 
     def table(self, name: str) -> DataFrame:
@@ -33,11 +33,11 @@ class Store:
         return self.tables[name]
 
     def _read(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.json"
+        path = f"{self.folder}/{self.files[name]}.json"
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], SCHEMAS[name]).withColumn("__pos", F.lit(0))
-        return framed.read(self.spark, path).select(F.from_json("doc", SCHEMAS[name]).alias("r"), F.col("pos").alias("__pos")).select("r.*", "__pos")
+        return framed.read(self.spark, path).select(typed(name, F.col("doc")).alias("r"), F.col("pos").alias("__pos")).select("r.*", "__pos")
 
     def index(self, name: str) -> DataFrame:
         if name == "activities_by_dossier":

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from quaestor.specs import INDEXES, SCHEMAS
+from quaestor.specs import FILES, INDEXES, SCHEMAS
 from quaestor.store import Store
 
 OPEN = "9999-12-31T00:00:00"
@@ -27,9 +27,9 @@ DUMPS = {
     ],
     "amendments": [{"id": "a1", "reference": "2020/0001(COD)", "date": "2020-02-01" + T, "meps": [1, 2, 2]}, {"id": "a2", "date": "2020-02-01" + T, "meps": [1, 3]}],
     "plenary_amendments": [{"id": "p1", "reference": "2020/0001(COD)", "meps": [1]}],
-    "votes": [{"voteid": "v1", "ts": "2020-03-01" + T, "epref": ["2020/0001(COD)", ""], "doc": "D1", "votes": {"+": {"total": 2, "groups": {"G1": [{"mepid": 1}, {"mepid": 2}]}}, "-": {"total": 2, "groups": {"G1": [{"mepid": 3}], "G2": [{"mepid": 4}, {"name": "lost"}]}}}}],
+    "votes": [{"voteid": "v1", "ts": "2020-03-01" + T, "epref": "2020/0001(COD)", "doc": "D1", "votes": {"+": {"total": 2, "groups": {"G1": [{"mepid": 1}, {"mepid": 2}]}}, "-": {"total": 2, "groups": {"G1": [{"mepid": 3}], "G2": [{"mepid": 4}, {"name": "lost"}]}}}}],
     "committee_votes": [{"id": "c1", "committee": "ENVI"}],
-    "activities": [{"mep_id": 2, "acts": {"COMPARL-SHADOW": [{"dossiers": ["2020/0002(COD)", "none"]}], "CRE": [{"title": "x", "dossiers": ["2020/0001(COD)"]}]}}],
+    "activities": [{"mep_id": 2, "meta": {}, "COMPARL-SHADOW": [{"dossiers": ["2020/0002(COD)", "none"]}], "CRE": [{"title": "x", "dossiers": ["2020/0001(COD)"]}]}],
     "agendas": [{"id": "g1", "committee": "ENVI", "items": [{"epdoc": "2020/0001(COD)", "RCV": True}, {"epdoc": "2020/0001(COD)", "RCV": False}, {"title": "break"}]}],
 }
 
@@ -38,7 +38,7 @@ DUMPS = {
 def store(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("dumps")
     for name, docs in DUMPS.items():
-        (folder / f"{name}.json").write_text("[" + "\n,".join(json.dumps(d) for d in docs) + "\n]")
+        (folder / f"{FILES[name]}.json").write_text("[" + "\n,".join(json.dumps(d) for d in docs) + "\n]")
     s = Store(spark, folder=str(folder))
     for name in SCHEMAS:
         s.tables[name] = s.table(name).cache()
