@@ -4,7 +4,7 @@ Given rules: (host, path prefix, verdict); the longest that fits decides. Other
 that FP-growth mines from labelled urls: token combinations (host parts, their words, path parts, names
 of query fields) that imply a block with at least the given confidence and support. Before the mining,
 one aggregation counts each token alone and with blocks; tokens that no rule could use (too rare, or
-blocks no likelier with them) are left out, and a url brings its `WIDEST` strongest tokens at most, which bounds the
+blocks no likelier with them) are left out, as are all but the `most` strongest, and a url brings its `WIDEST` strongest tokens at most, which bounds the
 combinations that a long url makes. Mined rules, at most `most`, match through an inverted index from
 token to rules; a url is blocked if it holds all tokens of one. Without a match it is allowed.
 
@@ -84,7 +84,7 @@ def mine(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence
     alone = rows.select("blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
     useful = alone.where((F.col("bad") >= support) & (F.col("bad") / F.col("n") >= lift * bad / total))
     strength = F.struct((-F.col("bad") / F.col("n")).alias("s"), "token")
-    best = useful.orderBy((F.col("bad") / F.col("n")).desc(), F.desc("bad"), "token").limit(4 * most).select("token", strength.alias("s")).collect()
+    best = useful.orderBy((F.col("bad") / F.col("n")).desc(), F.desc("bad"), "token").limit(most).select("token", strength.alias("s")).collect()
     if not best:
         return []
     rank = F.create_map(*(F.lit(x) for i, r in enumerate(best) for x in (r.token, i)))
