@@ -13,7 +13,7 @@ def terms_pattern(query: str) -> str:
     case. Look-aheads; only a line feed ends a line."""
     terms = query.split()
     quoted = [r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms]
-    return "(?imud)" + ("".join(f"(?=.*{q})" for q in quoted) if len(quoted) > 1 else "".join(quoted))
+    return "(?imud)" + ("^" + "".join(f"(?=.*{q})" for q in quoted) if len(quoted) > 1 else "".join(quoted))
 
 
 def has_terms(text: Column, query: str) -> Column:
