@@ -103,12 +103,13 @@ def _spanning(fp: np.ndarray, home: np.ndarray, left: np.ndarray | None = None)
     """Links that span the components of the graph of pairs within DISTANCE of which one has its home here.
     left: if given, only pairs between its two sides count."""
     out = []
+    bits = fp.view(np.uint64)  # bitwise_count of a signed number counts the bits of its absolute value
     free = np.arange(len(fp))
     while len(free):
         stack, free = [free[0]], free[1:]
         while stack and len(free):
             x = stack.pop()
-            near = np.bitwise_count(fp[free] ^ fp[x]) <= DISTANCE
+            near = np.bitwise_count(bits[free] ^ bits[x]) <= DISTANCE
             if not home[x]:
                 near &= home[free]
             if left is not None:
@@ -157,7 +158,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
             if len(fp) > block:
                 found += [(anchor, int(x), bool(h), i // block) for i, (x, h) in enumerate(zip(fp, home, strict=True))]
             elif len(fp) > 1 and home.any():
-                found += [(a, b, None, None) for a, b in _spanning(fp.view(np.uint64).view(np.int64), home)]
+                found += [(a, b, None, None) for a, b in _spanning(fp, home)]
             if len(found) >= 50_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema)
                 found = []

@@ -119,3 +119,21 @@ def test_components_of_a_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges).collect()
     assert len(got) == 200 and {r.root for r in got} == {1}
+
+
+def test_links_over_bit_63(spark):
+    rnd = random.Random(63)
+    pairs = []
+    for extra in (0, 1, 2, 3):
+        for _ in range(20):
+            a = rnd.getrandbits(64)
+            pairs.append((a, a ^ sum(1 << b for b in [63, *rnd.sample(range(63), extra)])))
+    pairs.append((0, 2**64 - 1))
+    signed = np.array(pairs, np.uint64).view(np.int64).tolist()
+    near = {frozenset(s) for (a, b), s in zip(pairs, signed) if bin(a ^ b).count("1") <= 3}
+    assert len(near) == 60
+    for s in signed:
+        assert bool(simhash._spanning(np.array(s), np.ones(2, bool))) == (frozenset(s) in near)
+    fps = spark.createDataFrame([(x,) for s in signed for x in s], "fp long")
+    for block in (simhash.BLOCK, 1):
+        assert {frozenset((r.a, r.b)) for r in simhash.links(fps, block).collect()} == near
