@@ -2,11 +2,12 @@
 
 Given rules: (host, path prefix, verdict); the longest that fits decides. Other urls are judged by rules
 that FP-growth mines from labelled urls: token combinations (host parts, their words, path parts, names
-of query fields) that imply a block with at least the given confidence and support. Before the mining,
-one aggregation counts each token alone and with blocks; tokens that no rule could use (too rare, or
-blocks no likelier with them) are left out, as are all but the `most` strongest, and a url brings its `WIDEST` strongest tokens at most, which bounds the
-combinations that a long url makes. Mined rules, at most `most`, match through an inverted index from
-token to rules; a url is blocked if it holds all tokens of one. Without a match it is allowed.
+of query fields) that imply a block with at least the given confidence and support. What is left out before the
+mining changes no rule: tokens with fewer blocks than the support; all but one of the tokens that stand in the
+same labelled urls (rules get each of them back); tokens that are rules alone or stand in every url, as a longer rule
+with one blocks nothing more. Urls bring all their other tokens, and every rule that contains no other is kept.
+Up to `LITERALS` rules match through an inverted index of literals, more through a join on each rule's
+rarest token; a url is blocked if it holds all tokens of one. Without a match it is allowed.
 
 Nulls: a null url or one without :// has empty host and path, no tokens, and is allowed. Repeated rows are
 judged each. Null labels don't count; of several labels of an id a block counts. Without labels nothing is mined."""
@@ -17,11 +18,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.common import written
+
 SUPPORT = 20
 CONFIDENCE = 0.8
-LIFT = 1.5
-RULES = 1000
-WIDEST = 10
+LITERALS = 1000
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -73,33 +74,54 @@ def given(url: Column, rules: list[tuple[str, str, str]]) -> Column:
     return F.coalesce(*fits)
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most: int = RULES) -> list[tuple[list[str], float, int]]:
-    """(tokens, confidence, support) of the rules that imply a block. pages: (id, url); labels: (id, blocked).
-    The strongest come first; ties go to more support, then to fewer and earlier tokens."""
+def mined(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(tokens, lead, confidence, n) of the rules that imply a block and contain no other such rule; lead is the rarest
+    token, n the support. None without a block. pages: (id, url); labels: (id, blocked)."""
     marks = labels.where("id is not null and blocked is not null").groupBy("id").agg(F.max(F.col("blocked").cast("int")).alias("blocked"))
-    rows = pages.where("url is not null").join(marks, "id").select("blocked", tokens(F.col("url")).alias("tokens"))
+    labelled = pages.where("url is not null").join(marks, "id")
+    rows = written(labelled.select(F.monotonically_increasing_id().alias("row"), "blocked", tokens(F.col("url")).alias("tokens")))
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     if not bad:
-        return []
-    alone = rows.select("blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
-    useful = alone.where((F.col("bad") >= support) & (F.col("bad") / F.col("n") >= lift * bad / total))
-    strength = F.struct((-F.col("bad") / F.col("n")).alias("s"), "token")
-    best = useful.orderBy((F.col("bad") / F.col("n")).desc(), F.desc("bad"), "token").limit(most).select("token", strength.alias("s")).collect()
-    if not best:
-        return []
-    rank = F.create_map(*(F.lit(x) for i, r in enumerate(best) for x in (r.token, i)))
-    ranked = F.array_sort(F.filter(F.transform(F.col("tokens"), lambda t: rank[t]), lambda i: i.isNotNull()))
-    names = F.array(*(F.lit(r.token) for r in best))
-    chosen = F.transform(F.slice(ranked, 1, WIDEST), lambda i: F.element_at(names, i + 1))
-    baskets = rows.select(F.concat(chosen, F.when(F.col("blocked") == 1, F.array(F.lit("y:block"))).otherwise(F.array(F.lit("y:allow")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", "y:block") & ~F.array_contains("antecedent", "y:allow"))
-    rules = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * total).cast("long").alias("n"))
-    first = rules.orderBy(F.desc("confidence"), F.desc("n"), F.size("tokens"), F.array_join("tokens", " ")).limit(most).collect()
-    kept: list[tuple[list[str], float, int]] = []
-    for r in sorted(first, key=lambda r: (len(r.tokens), r.tokens)):  # a rule that contains another blocks nothing more
-        if not any(set(k[0]) <= set(r.tokens) for k in kept):
-            kept.append((list(r.tokens), r.confidence, r.n))
+        return None
+    sums = [F.sum(F.xxhash64(F.lit(i), "tokens").cast("decimal(20,0)")).alias(f"sum{i}") for i in (1, 2)]  # of the urls that hold a token
+    alone = rows.select("blocked", "tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"), *sums)
+    alike = alone.where(F.col("bad") >= support).groupBy("n", "bad", "sum1", "sum2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    classes = written(alike.select(F.element_at("members", 1).alias("item"), "members", "n", "bad", (F.col("bad") / F.col("n")).alias("confidence")))
+    single = classes.where(F.col("confidence") >= confidence).select(F.explode("members").alias("lead"), "confidence", F.col("bad").alias("n"))
+    single = single.select(F.array("lead").alias("tokens"), "lead", "confidence", "n")
+    rest = classes.where((F.col("confidence") < confidence) & (F.col("n") < total))
+    held = rows.select("row", "blocked", F.explode("tokens").alias("item")).join(rest.select("item"), "item")
+    block = F.when(F.max("blocked") == 1, F.array(F.lit("y:block"))).otherwise(F.array().cast("array<string>"))
+    baskets = written(held.groupBy("row").agg(F.concat(F.collect_list("item"), block).alias("items")).select("items"))
+    count = baskets.count()
+    if not count:
+        return single
+    # half a row less, as the share times the count may come out above the support
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support - 0.5, 0.5) / count)).fit(baskets)
+    sets = written(model.freqItemsets)
+    blocked = sets.where(F.array_contains("items", "y:block") & (F.size("items") > 2)).select(F.array_sort(F.array_remove("items", "y:block")).alias("items"), F.col("freq").alias("bad"))
+    every = sets.where(~F.array_contains("items", "y:block") & (F.size("items") > 1)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    share = (F.col("bad") / F.col("n")).alias("confidence")
+    found = blocked.join(every, "items").where((F.col("bad") >= support) & (share >= confidence)).select("items", share, F.col("bad").alias("n"))
+    parts = found.select("items", "confidence", "n", F.explode("items").alias("item")).join(rest.select("item", "members", F.col("n").alias("often")), "item")
+    rules = written(parts.groupBy("items", "confidence", "n").agg(F.min(F.struct("often", "item")).alias("lead"), F.collect_list(F.transform("members", lambda t: F.struct("often", t.alias("token")))).alias("members")))
+    within = rules.select(F.col("lead.item").alias("part"), F.col("items").alias("less"))
+    holds = (F.size("less") < F.size("items")) & (F.size(F.array_except("less", "items")) == 0)
+    longer = rules.select("items", F.explode("items").alias("part")).join(within, "part").where(holds).select("items").distinct()
+    none = F.array().cast("array<struct<often:bigint,token:string>>")
+    choices = F.aggregate("members", F.array(none), lambda made, some: F.flatten(F.transform(made, lambda m: F.transform(some, lambda t: F.concat(m, F.array(t))))))
+    several = rules.join(longer, "items", "left_anti").select("confidence", "n", F.explode(choices).alias("chosen"))
+    return single.union(several.select(F.array_sort(F.col("chosen.token")).alias("tokens"), F.array_min("chosen").token.alias("lead"), "confidence", "n"))
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, int]]:
+    """mined() as a list. The strongest come first; ties go to more support, then to fewer and earlier tokens."""
+    found = mined(pages, labels, support, confidence)
+    return _listed(found) if found is not None else []
+
+
+def _listed(rules: DataFrame) -> list[tuple[list[str], float, int]]:
+    kept = [(list(r.tokens), r.confidence, r.n) for r in rules.collect()]
     return sorted(kept, key=lambda k: (-k[1], -k[2], len(k[0]), k[0]))
 
 
@@ -118,15 +140,30 @@ def matched(url: Column, rules: list[tuple[list[str], float, int]]) -> Column:
     return F.array_min(whole)
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, mined): the tokens of the first rule of mined() that a url of column url holds all tokens of, by a join on
+    the rules' rarest tokens; urls without one are left out."""
+    held = urls.where("url is not null").select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("lead"))
+    hits = held.join(rules, "lead").where(F.size(F.array_except("tokens", tokens(F.col("url")))) == 0)
+    first = F.min(F.struct(-F.col("confidence"), -F.col("n"), F.size("tokens"), "tokens"))
+    return hits.groupBy("url").agg(first.alias("first")).select("url", F.array_join("first.tokens", " ").alias("mined"))
+
+
+def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, confidence: float = CONFIDENCE, literals: int = LITERALS) -> DataFrame:
     """(id, host, path, rule, mined, verdict) for each row of pages. labels: (id, blocked). mined: the tokens of the
     mined rule that blocked it, where no given rule fits."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    learned = mine(rows, labels, support, confidence)
-    texts = F.array(*(F.lit(" ".join(need)) for need, _, _ in learned)) if learned else F.array().cast("array<string>")
-    out = rows.withColumn("given", given(F.col("url"), rules)).withColumn("at", matched(F.col("url"), learned))
-    mined = F.when(F.col("given").isNull() & F.col("at").isNotNull(), F.get(texts, F.col("at")))
+    found = mined(rows, labels, support, confidence)
+    learned = written(found) if found is not None else None
+    if learned is not None and learned.count() > literals:
+        out = rows.join(joined(rows, learned).withColumnRenamed("mined", "hit"), "url", "left")
+    else:
+        few = _listed(learned) if learned is not None else []
+        texts = F.array(*(F.lit(" ".join(need)) for need, _, _ in few)) if few else F.array().cast("array<string>")
+        out = rows.withColumn("hit", F.get(texts, matched(F.col("url"), few)))
+    out = out.withColumn("given", given(F.col("url"), rules))
+    by_mining = F.when(F.col("given").isNull(), F.col("hit"))
     return out.select(
-        "id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.col("given.rule").alias("rule"), mined.alias("mined"),
-        F.coalesce(F.col("given.verdict"), F.when(F.col("at").isNotNull(), BLOCK).otherwise(ALLOW)).alias("verdict"),
+        "id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.col("given.rule").alias("rule"), by_mining.alias("mined"),
+        F.coalesce(F.col("given.verdict"), F.when(F.col("hit").isNotNull(), BLOCK).otherwise(ALLOW)).alias("verdict"),
     )

@@ -187,6 +187,34 @@ def test_mined_rules(spark):
     assert all((got[i] == "block") == bool(b) for i, b in labels)
 
 
+def test_mined_rules_equal_brute_force(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(11)
+    for rate in (0.15, 0.75):  # 1.5 times the upper one is over 1
+        rows, labels = [], []
+        for i in range(500):
+            x, y, z = rnd.random() < 0.5, rnd.random() < 0.5, rnd.choice("klm")
+            extra = "/long/one/two/three/four" if i % 9 == 0 else ""
+            rows.append((i, f"http://{z}.{'odd' if x else 'even'}.org/{'up' if y else 'down'}{extra}"))
+            labels.append((i, int(x != y or rnd.random() < 0.05) if rate < 0.5 else int(rnd.random() < rate or x and y)))
+        pages = spark.createDataFrame(rows, "id long, url string").cache()
+        marks = spark.createDataFrame(labels, "id long, blocked int")
+        every, bad = Counter(), Counter()
+        for r in pages.select("id", url_filter.tokens(F.col("url")).alias("t")).collect():
+            for size in range(1, 4):
+                for c in combinations(r.t, size):
+                    every[c] += 1
+                    bad[c] += labels[r.id][1]
+        rules = {c: (b / every[c], b) for c, b in bad.items() if b >= 20 and b / every[c] >= 0.8}
+        least = {c: v for c, v in rules.items() if not any(set(k) < set(c) for n in range(1, len(c)) for k in combinations(c, n) if k in rules)}
+        got = url_filter.mine(pages, marks)
+        assert least and {tuple(t): (c, n) for t, c, n in got if len(t) <= 3} == least
+        results = [sorted(url_filter.judged(pages, marks, [], id_col="id", literals=n).collect()) for n in (0, 10**6)]
+        assert results[0] == results[1] and any(r.verdict == "block" for r in results[0])
+
+
 # quality
 
 
