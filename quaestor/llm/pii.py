@@ -1,6 +1,8 @@
 """PII as format-preserving pseudonyms, in Spark SQL expressions only.
 
-One regular expression finds candidates; each kind is validated (Luhn, mod 97, octets, calendar). A value
+One regular expression finds the longest candidate at every place; each kind is validated (Luhn, mod 97, octets,
+calendar). Where a card, IBAN or phone number isn't valid as a whole, its longest valid part from the same start to a
+separator counts, an IBAN of its country's length before others; values don't overlap, the first from the left counts. A value
 that passes is replaced by its image under a keyed Feistel permutation of its format: digits become
 digits, letters letters, separators stay. Rounds take SHA-512 of key, kind, length, round and one half, and shift each character of
 the other half within its alphabet, so that the map is a bijection and equal values get equal pseudonyms in every document.
@@ -9,7 +11,8 @@ kind   candidate                         permuted
 card   13 to 19 digits, Luhn-valid       all digits but the last                    a new Luhn digit
 iban   country, 2 digits, 11 to 30 more  the account part                           new check digits
 ip     four octets up to 255             the 32 bits, in hexadecimal                construction
-date   y-m-d, d/m/y, d.m.y, 1900-2099    the day's number in those 200 years        construction
+date   y-m-d, d/m/y, d.m.y, 1900-2099;   the day's number in those 200 years;       construction
+       m/d/y, m.d.y if the day is over 12  days over 12 among themselves
 phone  + or 00, country, groups          the digits after the country's             pattern
 ssn    3-2-4 digits                      all digits                                 pattern
 email  local@host                        letters and digits of the local part       pattern
@@ -28,8 +31,8 @@ ROUNDS = 8
 # The kinds' patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+|00)[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![A-Za-z0-9])",
@@ -37,6 +40,15 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
+PLACES = f"(?=({PATTERN}))"
+IBAN_SIZES = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _FIRST, _DAYS_L, _DAYS_R = "1900-01-01", 17, 4297  # 17 * 4297 days are the years 1900 to 2099
 
 
@@ -159,7 +171,23 @@ def _core(pattern: str) -> str:
 
 
 def _date(match: Column) -> Column:
-    return F.coalesce(F.try_to_date(match, "yyyy-MM-dd"), F.try_to_date(match, "dd/MM/yyyy"), F.try_to_date(match, "dd.MM.yyyy"))
+    return F.coalesce(*(F.try_to_date(match, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy", "MM.dd.yyyy")))
+
+
+def _month_first(match: Column) -> Column:
+    """Whether a date can only be read month first."""
+    return match.rlike(r"^[0-9]{2}[/.](?:1[3-9]|[23][0-9])[/.]")
+
+
+def _late_day(n: Column, key: str) -> Column:
+    """The image of a day's number among the days over 12 of a month: the permutation is applied till it gives one.
+    Six tenths of the days are, so 100 turns are never used up."""
+    late = lambda x: F.dayofmonth(F.date_add(F.lit(_FIRST).cast("date"), x)) > 12
+
+    def turn(x: Column, i: Column) -> Column:
+        return F.when((i > 1) & late(x), x).otherwise(_day(x, key))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(100)), n.cast("int"), turn)
 
 
 def pseudonym(match: Column, key: str = KEY) -> Column:
@@ -174,9 +202,12 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
     bits = F.array_join(F.transform(F.split(match, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
     hidden = feistel(bits, "ip", key, "0123456789abcdef")
     ip = F.concat_ws(".", *(F.conv(F.substr(hidden, F.lit(2 * i + 1), F.lit(2)), 16, 10) for i in range(4)))
-    day = F.date_add(F.lit(_FIRST).cast("date"), _day(F.date_diff(_date(match), F.lit(_FIRST).cast("date")), key))
+    number = F.date_diff(_date(match), F.lit(_FIRST).cast("date"))
+    day, late = (F.date_add(F.lit(_FIRST).cast("date"), n) for n in (_day(number, key), _late_day(number, key)))
     date = (
         F.when(F.instr(match, "-") > 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(_month_first(match) & (F.instr(match, "/") > 0), F.date_format(late, "MM/dd/yyyy"))
+        .when(_month_first(match), F.date_format(late, "MM.dd.yyyy"))
         .when(F.instr(match, "/") > 0, F.date_format(day, "dd/MM/yyyy"))
         .otherwise(F.date_format(day, "dd.MM.yyyy"))
     )
@@ -198,17 +229,63 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Da
     return docs.withColumn(text_col, _replaced(F.col(text_col).cast("string"), key))
 
 
+def _valid(candidate: Column) -> Column:
+    """The longest valid part of a candidate from its start, null if there is none."""
+
+    def ends(at: Column) -> Column:
+        return F.substr(candidate, at, F.lit(2)).rlike(r"^[A-Z0-9)](?:[^A-Za-z0-9]|$)")
+
+    # a part of the kind the candidate is of: shorter values of other kinds are candidates of their own
+    shape = F.when(candidate.rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(candidate.rlike(r"^(?:\+|00)"), "phone").otherwise("card")
+    parts = F.transform(F.filter(F.sequence(F.greatest(F.length(candidate), F.lit(8)), F.lit(8), F.lit(-1)), ends), lambda n: F.substr(candidate, F.lit(1), n))
+    valid = F.filter(parts, lambda p: F.coalesce(kind(p) == shape, F.lit(False)))
+    sizes = F.create_map(*(F.lit(x) for c in IBAN_SIZES.items() for x in c))
+
+    def best(found: Column) -> Column:
+        usual = F.filter(found, lambda p: F.length(_only(p, "A-Z0-9")) == sizes[F.substr(candidate, F.lit(1), F.lit(2))])
+        return F.coalesce(F.get(usual, F.lit(0)), F.get(found, F.lit(0)))
+
+    known = kind(candidate)
+    return F.when(known.isin("email", "token", "ip", "date", "phone", "ssn", "card"), candidate).when(
+        candidate.rlike(r"^(?:\+?[0-9]|[A-Z]{2}[0-9]{2})[-A-Z0-9 .()]{7,}$"), _let(valid, best)
+    )
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _pieces(text: Column) -> Column:
+    """What makes up a text, in order: struct(value, rest) of a valid value, or null, and what follows it."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(PLACES), F.lit(1)).alias("candidates"), F.split(text, PLACES, -1).alias("parts"))
+    empty = F.array().cast("array<struct<value:string,rest:string>>")
+
+    def step(s: Column, x: Column) -> Column:
+        value = F.when(s.skip == 0, x.value)
+        size = F.coalesce(F.length(value), s.skip)
+        piece = F.struct(value.alias("value"), F.substr(x.part, size + 1, F.length(x.part)).alias("rest"))
+        return F.struct(F.greatest(size - F.length(x.part), F.lit(0)).alias("skip"), F.concat(s.out, F.array(piece)).alias("out"))
+
+    def walked(f: Column) -> Column:
+        first = F.size(f.parts) - F.size(f.candidates)  # 0 if the text begins with a candidate: split gives no empty part there
+        head = F.when(first == 0, "").otherwise(F.get(f.parts, F.lit(0)))
+        steps = F.zip_with(F.slice(f.parts, first + 1, F.size(f.candidates)), f.candidates, lambda p, c: F.struct(p.alias("part"), _valid(c).alias("value")))
+        begin = F.struct(F.lit(0).alias("skip"), F.concat(empty, F.array(F.struct(F.lit(None).cast("string").alias("value"), head.alias("rest")))).alias("out"))
+        return F.aggregate(steps, begin, step, lambda s: s.out)
+
+    return _let(found, walked)
+
+
 def _replaced(text: Column, key: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    between = F.split(text, PATTERN, -1)
-    stand_ins = F.transform(found, lambda m: pseudonym(m, key))
-    pieces = F.zip_with(between, stand_ins, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.transform(_pieces(text), lambda p: F.concat(F.coalesce(pseudonym(p.value, key), F.lit("")), p.rest))
     return F.when(text.rlike(PATTERN), F.array_join(pieces, "")).otherwise(text)
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """(id, kind, value, pseudonym, n): the valid personal data of each row of docs and how often it occurs
     there. Null and empty texts have none."""
-    found = F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(PATTERN), F.lit(0)))
+    text = F.col(text_col).cast("string")
+    found = F.explode(F.transform(F.filter(F.when(text.rlike(PATTERN), _pieces(text)), lambda p: p.value.isNotNull()), lambda p: p.value))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), found.alias("value")).groupBy("id", "value").agg(F.count("*").alias("n"))
     return rows.select("id", kind(F.col("value")).alias("kind"), "value", pseudonym(F.col("value"), key).alias("pseudonym"), "n").where("kind is not null")

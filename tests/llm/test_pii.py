@@ -102,3 +102,26 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = pii.pseudonymised(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_valid_values_before_and_after_other_characters(spark):
+    visa, be, es = "4111 1111 1111 1111", "BE68 5390 0754 7034", "ES9121000418450200051332"
+    hex32 = "AB12" + "CD34" * 7
+    c = {v: p for v, (_, p) in images(spark, [visa, be, es, hex32, "97.51.17.173", "123-45-6789", CARD, "2024-02-29"]).items()}
+    cases = [f"{visa} 123", f"{visa} 12/27", f"{visa}-1 x", f"12 {visa} 7", f"{visa} 97.51.17.173", f"{visa} 123-45-6789", f"é {visa} {CARD}", f"2024-02-29 {visa}"]
+    cases += [f"{es} BIC", f"{be} BIC", f"{be} BANK OF X", f"{be} 12", f"IBAN {be}", f"{hex32} BIC", f"{es} {be}"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymised(rows).collect()}
+    for i, text in enumerate(cases):
+        for v, p in c.items():
+            text = text.replace(v, p)
+        assert got[i] == text and got[i] != cases[i], cases[i]
+    assert {(r.id, r.value) for r in pii.findings(rows).collect()} == {(i, v) for i, t in enumerate(cases) for v in c if v in t}
+
+
+def test_dates_with_the_month_first(spark):
+    days = [d for n in range(1500) if (d := datetime.date(2001, 1, 1) + datetime.timedelta(n)).day > 12]
+    got = images(spark, [d.strftime(f) for d in days for f in ("%m/%d/%Y", "%d/%m/%Y", "%m.%d.%Y")])
+    assert {k for k, _ in got.values()} == {"date"} and len({p for _, p in got.values()}) == len(got) == 3 * len(days)
+    for d in days:
+        datetime.datetime.strptime(got[d.strftime("%m/%d/%Y")][1], "%m/%d/%Y")
