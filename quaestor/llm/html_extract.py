@@ -32,10 +32,12 @@ KINDS = 12
 # Elements by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style title template noscript textarea select option button svg math iframe object embed noembed noframes canvas audio video datalist input xmp".split())
+UNSEEN = set("head script style title template noscript textarea select option button svg iframe object embed noembed noframes canvas audio video datalist input xmp".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math maction annotation annotation-xml merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+HEAD = set("head html base basefont bgsound link meta title style script noscript noframes template".split())  # what doesn't end a head
 CLOSES = {  # a start tag ends an open element of these names, unless one of the fences is met first
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -79,7 +81,10 @@ class Page:
         leaf, unseen, links, at = -1, 0, 0, 0
 
         def add(text: str) -> None:
-            nonlocal leaf
+            nonlocal leaf, unseen
+            if hidden == ["head"] and not text.isspace() and text:  # text can't stand in a head
+                hidden.clear()
+                unseen = 0
             if unseen or not text:
                 return
             if leaf < 0:
@@ -90,7 +95,7 @@ class Page:
             if links:
                 self.linked[leaf] += len(text)
 
-        hidden: list[str] = []
+        hidden: list[str] = []  # an open unseen element and the unseen and block elements within
         while True:
             m = _tag.search(source, at)
             add(entities.unescape(source[at : m.start() if m else len(source)]))
@@ -108,12 +113,21 @@ class Page:
                 elif name == "a":
                     links = max(0, links - 1)
                 elif name not in INLINE:
+                    if name in hidden:
+                        del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                        unseen = len(hidden)
+                        continue
                     if any(t == name for t, _ in stack[1:]):
                         while stack.pop()[0] != name:
                             pass
                         links = 0
+                        hidden.clear()  # an unseen element ends with the block around it
+                        unseen = 0
                     leaf = -1
                 continue
+            if hidden == ["head"] and name not in HEAD:
+                hidden.clear()
+                unseen = 0
             if name in RAW:
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
                 stop = end.start() if end else len(source)
@@ -129,7 +143,12 @@ class Page:
                     hidden.append(name)
                     unseen = len(hidden)
                 continue
-            if name in VOID or unseen and name != "body":
+            if name in VOID:
+                continue
+            if unseen and name != "body":
+                if name not in INLINE and name != "html" and not m[3].rstrip().endswith("/"):
+                    hidden.append(name)
+                    unseen = len(hidden)
                 continue
             if name == "body":
                 hidden.clear()

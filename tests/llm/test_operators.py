@@ -37,6 +37,19 @@ def test_marginals_are_exact():
     assert np.allclose(p, ones / total) and math.isclose(z, math.log(total), rel_tol=1e-9)
 
 
+def test_unclosed_hidden_elements_and_math():
+    text = lambda s: [t.strip() for t in html_extract.Page(s).text if t]
+    for head in ("<head><title>t</title>", "<head><meta name=a><style>x</style><script>y</script>", "<HEAD>\n<link rel=x>\n", "<head><noscript><img></noscript>"):
+        assert text(f"<html>{head}<article><p>one</p></article>") == ["one"], head
+        assert text(f"<html>{head}one") == ["one"], head
+        assert text(f"<html>{head}</head><body><p>one</p></body></html>") == ["one"], head
+    for name in ("button", "svg", "noscript", "select", "audio", "object"):
+        assert text(f"<article><div><{name}>no</div><p>one</p></article><p>two</p>") == ["one", "two"], name
+        assert text(f"<article><p>one</p><{name}><div>no</div>no</{name}><p>two</p></article>") == ["one", "two"], name
+        assert text(f"<div><{name}><div><p>no</div>no<div>no</{name}>one</div>two") == ["one", "two"], name
+    assert text("<p>for <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds</p>") == ["for x=12 holds"]
+
+
 def test_held_out_pages():
     model = html_extract.trained()
     pages = [html_extract.Page(s) for s in html_extract.labelled_pages(150, seed=77)]
