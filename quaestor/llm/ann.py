@@ -8,7 +8,9 @@ of all tables are ranked by their exact inner products in double precision.
 
 How many buckets to visit is fitted on a bounded sample (`SAMPLE` vectors, by a hash): the fewest that
 find the wanted share of neighbours there, where as many neighbours are asked for as the sample holds of
-the true ones, so that they are as far away as in the whole table. Every vector is indexed.
+the true ones, so that they are as far away as in the whole table. Where all moves together don't find that share, as
+with very unequal norms, every query is compared with all vectors; so is a query whose buckets hold too few. Every
+vector is indexed.
 
 Equal vectors are one entry with its least ids, as many as can ever be asked for. Buckets over `ROWS` entries are
 split, buckets are dealt into shards of about `ROWS` entries and queries into blocks, and a shard meets a
@@ -85,7 +87,7 @@ class Hasher:
 
 
 def _fit(sample: np.ndarray, size: int, total: int, norm: float, near: int) -> Hasher:
-    """A hasher that visits as few buckets as find SHARE of the neighbours within the sample."""
+    """A hasher that visits as few buckets as find SHARE of the neighbours within the sample; one bucket if no number does."""
     k = int(np.clip(round(np.log2(max(total, 2)) / 2.8), 6, 8))
     if total <= SAMPLE:
         return Hasher(size, k, norm, None)
@@ -101,7 +103,8 @@ def _fit(sample: np.ndarray, size: int, total: int, norm: float, near: int) -> H
         for t in range(TABLES):
             visit = {int(b): i for i, b in enumerate(probes[q, t])}
             need[q] = np.minimum(need[q], [visit.get(int(b), len(h.moves)) for b in index[best[q], t]])
-    h.visits = int(min(len(h.moves), np.quantile(need, SHARE) + 1))
+    most = int(np.quantile(need, SHARE, method="higher"))
+    h.visits = most + 1 if most < len(h.moves) else None
     return h
 
 
@@ -146,7 +149,31 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         order = np.argsort(sample.column("key").to_numpy())
         taken = np.array(sample.column("v").to_pylist(), float)[order]
     hasher = _fit(taken, size, total, float(np.sqrt(about[2] or 1)), near)
-    sent = spark.sparkContext.broadcast(hasher)
+    queries = asked.select("key").distinct().join(classes.select("key", "v"), "key")
+    found = _searched(classes, queries, hasher, size, total, asked.count(), near + 1)
+    if hasher.visits is not None:
+        found = written(found)
+        counts = found.groupBy("query").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= min(near + 1, total))
+        few = written(queries.join(counts, queries.key == counts.query, "left_anti"))
+        if lacking := few.count():
+            found = found.union(_searched(classes, few, Hasher(size, hasher.k, hasher.norm, None), size, total, lacking, near + 1))
+    most = near + 1
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    merged = found.groupBy("query", "key").agg(F.max("score").alias("score")).withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= most)
+    every = merged.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id")).distinct()
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    short = every.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= most).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("__at", "vec_id", "score"))).alias("list"))
+    mine = asked.join(short, asked.key == short.query)
+    kept = F.slice(F.filter("list", lambda r: r.vec_id != F.col("query_id")), 1, near)
+    return mine.select("query_id", F.posexplode(kept).alias("p", "r")).select(
+        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score")
+    )
+
+
+def _searched(classes: DataFrame, queries: DataFrame, hasher: Hasher, size: int, total: int, asking: int, most: int) -> DataFrame:
+    """(query, key, score): the `most` largest inner products of the vectors of each shard with the queries (key, v) that
+    visit it. asking: how many queries there are, about."""
+    sent = queries.sparkSession.sparkContext.broadcast(hasher)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,8 +195,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.column(0).to_numpy(), n)), pa.array(buckets.ravel())], ["query", "bucket"])
 
     entries = classes.select("key", "v").mapInArrow(index, "key long, bucket long, raw binary")
-    queries = asked.select("key").distinct().join(classes.select("key", "v"), "key")
-    shards, blocks = max(1, -(-TABLES * total // ROWS)), F.lit(max(1, -(-asked.count() // BLOCK)))
+    shards, blocks = max(1, -(-TABLES * total // ROWS)), F.lit(max(1, -(-asking // BLOCK)))
     sizes = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / ROWS).cast("long").alias("splits")))
     shard = F.pmod(F.xxhash64("bucket", "sub"), F.lit(shards))
     met = queries.select("key", "v").mapInArrow(probe, "query long, bucket long").join(sizes, "bucket")
@@ -181,7 +207,6 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     entries = entries.select("key", "bucket", "raw", shard.alias("shard")).join(pairs, "shard")
     entries = entries.select("key", "bucket", "raw", F.col("shard").alias("s"), F.col("block").alias("b"))
     visits = visits.join(queries.select(F.col("key").alias("query"), "v"), "query")
-    most = near + 1
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -210,14 +235,4 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                     out += zip(itertools.repeat(asking[i]), keys[at[best]], score[best], strict=False)
         return pd.DataFrame(out, columns=["query", "key", "score"]).astype({"query": "int64", "key": "int64", "score": "float64"})
 
-    found = entries.groupBy("s", "b").cogroup(visits.groupBy("shard", "block")).applyInPandas(search, "query long, key long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    merged = found.groupBy("query", "key").agg(F.max("score").alias("score")).withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= most)
-    every = merged.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id")).distinct()
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    short = every.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= most).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("__at", "vec_id", "score"))).alias("list"))
-    mine = asked.join(short, asked.key == short.query)
-    kept = F.slice(F.filter("list", lambda r: r.vec_id != F.col("query_id")), 1, near)
-    return mine.select("query_id", F.posexplode(kept).alias("p", "r")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score")
-    )
+    return entries.groupBy("s", "b").cogroup(visits.groupBy("shard", "block")).applyInPandas(search, "query long, key long, score double")

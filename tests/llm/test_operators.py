@@ -156,6 +156,28 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_nearest_with_unequal_norms_and_far_queries(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(9000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    skewed = x * rnd.lognormal(sigma=1.0, size=(len(x), 1))
+    narrow = ann.Hasher(16, 6, 1.0, 1)  # visits one bucket, which holds the query alone
+    narrow.a = [a * 40 for a in narrow.a]
+    for v, fit in ((skewed, ann._fit), (x, lambda *a: narrow)):
+        monkeypatch.setattr(ann, "_fit", fit)
+        df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 300 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        right = 0
+        for q in range(0, len(v), 300):
+            score = v @ v[q]
+            score[q] = -np.inf
+            right += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+            assert len(got[q]) == 20
+        assert right >= 0.9 * 20 * 30
+
+
 # url filter
 
 
