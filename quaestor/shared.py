@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is named (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where none is named and all runs on one machine, a temporary one. On a
+    cluster no machine's own folder will do, so the setting must be there."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         there = f"file://{tempfile.mkdtemp(prefix='quaestor-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there
