@@ -1,50 +1,40 @@
-"""What the operators share: written tables in the shared folder, hot-safe components, small helpers."""
+"""What the operators share: bounded batches, bounded samples, joins by a checked size, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from quaestor.session import load
+from quaestor.shared import place, shared_dir, written
 
+__all__ = ["bounded", "components", "crc_mod", "least_hashed", "mapped", "place", "shared_dir", "slices", "table", "without", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Reads one input table; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+BATCH_BYTES = 4 << 20
+SENT_ROWS = 500_000  # ids that may be sent to every executor: 4 MB of numbers, about 16 MB as a hash table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is named (tests on one machine), a temporary one."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='quaestor-')}"
-        spark.sparkContext.setCheckpointDir(there)
-    return there
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Reads one input table; only Spark opens the path."""
+    return load(spark, sf_dir, name)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: later readers neither compute it
-    again nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quaestor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row) between the JVM and Python, in this session: a batch of the
+    default 64 MB would stand in the memory of both, for every task at once. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    size = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else -1
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch space
-            return
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with bounded batches."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
@@ -59,10 +49,35 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def without(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key isn't in the one column of ids (distinct, without nulls, written). A null key stays.
+    Few ids are sent to the rows; more are joined by a shuffle, where a key with many rows is left to the adaptive
+    skew join."""
+    name = ids.columns[0]
+    few = ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    ids = ids.withColumnRenamed(name, "__without")
+    return df.join(F.broadcast(ids) if few else ids, key == F.col("__without"), "left_anti")
+
+
+def least_hashed(hashes: DataFrame, most: int, total: int) -> int | None:
+    """The bound up to which about `most` distinct values (never more) of the long column `hash` lie; None if there
+    are none. Equal rows share a hash, so that a row with many copies is one of the sample's. total: how many rows."""
+    if not total:
+        return None
+    span = 1 << 64
+    top = min(span - 1, 2 * span * most // total) - (1 << 63)  # twice the share, as rows repeat
+    for bound in (top, (1 << 63) - 1):
+        near = hashes.where(F.col("hash") <= F.lit(bound)).select("hash").distinct().orderBy("hash").limit(most)
+        last, n = near.agg(F.max("hash"), F.count("*")).first()
+        if n or bound == (1 << 63) - 1:
+            return last
+    return None
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's least node.
 
-    Alternating large-star and small-star steps. Each step is a window minimum and a distinct, nothing is
+    Alternating large-star and small-star steps. Each step is a minimum by node and a distinct, nothing is
     gathered in one place, and every round is written to the shared folder, which cuts the lineage.
     Self-links, repeated links and null ends are dropped; no edges give no rows."""
     now = written(

@@ -3,8 +3,8 @@
 Eight overlapping heuristics vote good, bad or abstain on every document. The votes of all documents are
 counted by pattern (at most 3**8 patterns), and expectation-maximisation on these counts estimates each
 heuristic's accuracy for good and for bad text. The posterior of its pattern labels a document. A linear
-scorer on hashed word shapes learns these soft labels from a bounded sample (`sample` documents, chosen
-by a hash of the id) and then scores every document whole. No given label is used.
+scorer on hashed word shapes learns these soft labels from a bounded sample (`sample` distinct texts, chosen
+by a hash of the text) and then scores every document whole. No given label is used.
 
 Nulls: a null text is empty; a text without words has no votes, scores 0 and is not kept. Repeated rows are scored each. An empty table gives no rows. Further columns are not read."""
 
@@ -18,11 +18,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quaestor.llm.common import slices
+from quaestor.llm.common import bounded, least_hashed, mapped, slices
 
 WIDTH = 512
 SAMPLE = 8000
@@ -152,61 +151,59 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             seen.update(map(votes, b.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["p", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "p string, n long")
+    found = mapped(docs.select(F.col(text_col).cast("string").alias("text")), run, "p string, n long")
     return {r.p: r.n for r in found.groupBy("p").agg(F.sum("n").alias("n")).collect()}
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """The scorer's weights: expectation-maximisation over all documents, then a fit on about `sample` of
-    them (never over twice as many)."""
-    counts = vote_counts(docs, text_col)
+    """The scorer's weights: expectation-maximisation over all documents, then a fit on at most `sample` distinct texts,
+    those of the least hashes. Any table with a word in it gives at least one."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    counts = vote_counts(texts)
     posterior, _ = estimate(counts)
-    total = sum(counts.values())
-    if not total:
+    hashed = texts.where(F.col("text").rlike(r"\S")).select("text", F.xxhash64("text").alias("hash"))
+    last = least_hashed(hashed, sample, sum(counts.values()))
+    if last is None:
         return np.zeros(WIDTH + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # of the sample's hashes
         for b in slices(batches):
-            texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([posterior.get(votes(t), 0.5) for t in texts])], ["x", "y"]
-            )
-
-    parts = 1 << 30
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts))
-    chosen = docs.where(part < min(parts, int(parts * sample / total) + 1)).select(F.col(text_col).cast("string").alias("text"))
-    chosen = chosen.where(F.col("text").rlike(r"\S"))
-    rows = chosen.mapInArrow(run, "x binary, y double").limit(2 * sample).toArrow()
-    if not rows.num_rows:
-        return np.zeros(WIDTH + 1)
+            new = [(h, t) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if h not in done and not done.add(h)]
+            cols = [pa.array([h for h, _ in new], pa.int64()), pa.array([features(t).tobytes() for _, t in new], pa.binary()), pa.array([posterior.get(votes(t), 0.5) for _, t in new], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["hash", "x", "y"])
+
+    each = mapped(hashed.where(F.col("hash") <= F.lit(last)), run, "hash long, x binary, y double")
+    rows = each.groupBy("hash").agg(F.first("x").alias("x"), F.first("y").alias("y")).toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
-    order = np.lexsort((rows.column("y").to_numpy(), *x.T[:3]))  # the order of arrival must not matter
+    order = np.argsort(rows.column("hash").to_numpy())  # the order of arrival must not matter
     return fit(x[order], rows.column("y").to_numpy()[order])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(id, score, keep) for every row; score near 1: good text; keep: score >= 0.5."""
-    w = train(docs, id_col, text_col, sample)
-    return _scored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "text", w).select(
-        "id", "score", (F.col("score") >= THRESHOLD).alias("keep")
-    )
+def scorer(w: np.ndarray, text: Column) -> Column:
+    """The score of a text; only texts go to Python, other columns stay where they are."""
 
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            out = []
+            for at in range(0, len(t), 256):
+                x = np.array([features(s) for s in t.slice(at, 256).to_pylist()], np.float64).reshape(-1, WIDTH)
+                out.append(np.where(x.any(1), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40))), 0.0))
+            yield pa.array(np.concatenate(out) if out else [], pa.float64())
 
-def _scored(docs: DataFrame, text_col: str, w: np.ndarray) -> DataFrame:
-    """docs with a column score appended."""
+    return F.arrow_udf(run, "double")(text.cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            x = np.array([features(t) for t in b.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
-            p = np.where(x.any(1), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40))), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, name])
 
-    at = docs.columns.index(text_col)
-    name = "score" if "score" not in docs.columns else "__score"
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(id, score, keep) for every row; score near 1: good text; keep: score >= 0.5."""
+    w = train(docs, id_col, text_col, sample)
+    bounded(docs.sparkSession)
+    scores = docs.select(F.col(id_col).cast("long").alias("id"), scorer(w, F.col(text_col)).alias("score"))
+    return scores.select("id", "score", (F.col("score") >= THRESHOLD).alias("keep"))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the scorer keeps, with the columns of docs."""
-    scored = _scored(docs, text_col, train(docs, id_col, text_col, sample))
-    return scored.where(F.col(scored.columns[-1]) >= THRESHOLD).drop(scored.columns[-1])
+    w = train(docs, id_col, text_col, sample)
+    bounded(docs.sparkSession)
+    return docs.where(scorer(w, F.col(text_col)) >= THRESHOLD)
