@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import components, slices, written
+from quaestor.llm.common import components, mapped, slices, without, written
 
 SEED = 42
 SHINGLE = 3
@@ -58,9 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, fp long"
-    )
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
 def _syndrome_tables() -> list[np.ndarray]:
@@ -121,10 +119,15 @@ def _spanning(fp: np.ndarray, home: np.ndarray, left: np.ndarray | None = None)
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
-    """Runs of equal keys (the first columns) in sorted batches, each run whole, across batch borders."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[tuple, int | None, list[np.ndarray]]]:
+    """(key, part, columns) of runs of equal keys (the first columns) in sorted batches, across batch borders. A run of up to
+    `most` rows is whole and its part null; a longer one comes in numbered parts of `most` rows, while it is read."""
     held: list[list[np.ndarray]] = []
-    last = None
+    last, size, part = None, 0, None
+
+    def out() -> tuple:
+        return last, part, [np.concatenate(x) for x in zip(*held, strict=True)]
+
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if not len(cols[0]):
@@ -133,13 +136,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         edges = [0, *cut.tolist(), len(cols[0])]
         for a, z in zip(edges, edges[1:], strict=False):
             key = tuple(int(c[a]) for c in cols[:keys])
-            if key != last and held:
-                yield last, [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            last = key
-            held.append([c[a:z] for c in cols[keys:]])
+            if key != last:
+                if held:
+                    yield out()
+                held, last, size, part = [], key, 0, None
+            while most and size + z - a > most:
+                room = most - size
+                held.append([c[a : a + room] for c in cols[keys:]])
+                part = 0 if part is None else part
+                yield out()
+                held, size, a, part = [], 0, a + room, part + 1
+            if z > a:
+                held.append([c[a:z] for c in cols[keys:]])
+                size += z - a
     if held:
-        yield last, [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield out()
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -152,26 +163,27 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
             row, key, home = anchors(fp)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
+    def linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())], names)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        for (anchor,), (fp, home) in _groups(batches, 1):
-            if len(fp) > block:
-                found += [(anchor, int(x), bool(h), i // block) for i, (x, h) in enumerate(zip(fp, home, strict=True))]
+        found: list[tuple[int, int]] = []
+        for (anchor,), part, (fp, home) in _groups(batches, 1, block):
+            if part is not None:
+                n = len(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(fp), pa.array(home), pa.array(np.full(n, part))], names)
             elif len(fp) > 1 and home.any():
-                found += [(a, b, None, None) for a, b in _spanning(fp, home)]
+                found += _spanning(fp, home)
             if len(found) >= 50_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema)
+                yield linked(found)
                 found = []
-        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema)
-
-    names = ("a", "b", "home", "block")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("home", pa.bool_()), ("block", pa.int64())])
-    entries = fps.where("fp is not null").select("fp").distinct().mapInArrow(spread, "anchor long, fp long, home boolean")
-    first = written(
-        entries.repartition(F.col("anchor"))
-        .sortWithinPartitions("anchor")
-        .mapInArrow(compare, "a long, b long, home boolean, block long")
-    )
+        yield linked(found)
+
+    names = ["a", "b", "home", "block"]
+    entries = mapped(fps.where("fp is not null").select("fp").distinct(), spread, "anchor long, fp long, home boolean")
+    sorted_ = entries.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    first = written(mapped(sorted_, compare, "a long, b long, home boolean, block long"))
     near = first.where("block is null").select("a", "b")
     large = first.where("block is not null").select(F.col("a").alias("anchor"), F.col("b").alias("fp"), "home", "block")
     last = large.groupBy("anchor").agg(F.max("block").alias("most"))
@@ -182,14 +194,14 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (fp, home, left) in _groups(batches, 3):
+        for (_, i, j), _part, (fp, home, left) in _groups(batches, 3):
             found = _spanning(fp, home, None if i == j else left)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
-    far = pairs.repartition(F.col("anchor"), F.col("i"), F.col("j")).sortWithinPartitions("anchor", "i", "j").mapInArrow(between, "a long, b long")
-    return near.union(far)
+    dealt = pairs.repartition(F.col("anchor"), F.col("i"), F.col("j")).sortWithinPartitions("anchor", "i", "j")
+    return near.union(mapped(dealt, between, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +221,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one document of each near-duplicate group stays: the one with the least
-    id. Of rows that repeat that id, the least by text stays. Rows whose id is null stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("id = component").select(F.col("id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
+    id. Of rows that repeat that id, the least by text stays. Rows whose id is null stay.
+
+    The ids that go, and those that more than one row has, are written first. Texts are shuffled only if those ids are too many
+    to be sent, apart from the rows of repeated ids."""
+    found = near_duplicates(docs, id_col, text_col).where("id is not null")
+    judged = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stays"), F.count("*").alias("n"))
+    odd = written(judged.where("not stays or n > 1"))
+    key = F.col(id_col).cast("long")
+    once = without(docs, key, odd.select("id"))
+    repeated = written(odd.where("stays").select(F.col("id").alias("__keep")))
+    if not repeated.limit(1).count():
+        return once
     row = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    one = kept.groupBy(F.col(id_col).alias("__keep")).agg(row.alias("__row")).select("__row.*")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    several = docs.join(repeated, key == F.col("__keep"), "left_semi").groupBy(key.alias("__id")).agg(row.alias("__row"))
+    return once.unionByName(several.select("__row.*"))
