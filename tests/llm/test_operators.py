@@ -299,8 +299,11 @@ def test_leaks_match_brute_force(spark):
     for limit in (1_000_000, 0):
         got = {(r.id, r.item_id, r.item_shingles, r.found) for r in decontaminate.leaks(d, b, limit=limit).collect()}
         assert got == want, limit
-    bad = {w[0] for w in want}
-    assert decontaminate.clean(d, b).count() == sum(i not in bad for i, _ in docs)
+    leaking = {t for i, t in docs if any(w[0] == i for w in want)}
+    for limit in (1_000_000, 0):
+        left = decontaminate.clean(d, b, limit=limit)
+        assert left.columns == d.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t in docs if t not in leaking)
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
@@ -326,15 +329,75 @@ def test_base_scores(spark, most):
     assert lm.scored(df.limit(0), F.col("l")).count() == 0
 
 
-def test_model_is_normalised_and_learns():
-    rnd = np.random.default_rng(0)
-    counts = np.zeros((lm.UNITS + 1, lm.UNITS + 1, lm.UNITS), np.int64)
-    for _ in range(4000):  # each unit is followed by the next
-        a = rnd.integers(0, 10)
-        counts[a, (a + 1) % 10, (a + 2) % 10] += 1
-    p = 10 ** lm.train(counts)
-    assert np.allclose(p.sum(2), 1)
-    assert np.mean([p[a, (a + 1) % 10, (a + 2) % 10] for a in range(10)]) > 0.5
+def lm_texts(rnd, n):
+    """Two vocabularies; a text sticks to one, and each of its words to the next in line."""
+    out = []
+    for i in range(n):
+        start = rnd.randrange(40)
+        out.append(" ".join(f"{'ab'[i % 2]}{(start + k) % 40}{'xy'[i % 2]}" if rnd.random() < 0.9 else f"rare{rnd.randrange(10**6)}" for k in range(30)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def lm_fitted(spark):
+    texts = spark.createDataFrame([(t,) for t in lm_texts(random.Random(1), 800)], "text string")
+    counts = lm.token_counts(texts).cache()
+    known = {r.word.encode(): r.n for r in counts.collect()}
+    return lm.fit(texts, counts, known, vectors=60), known
+
+
+def test_model_is_normalised(lm_fitted):
+    m, _ = lm_fitted
+    n = len(m.unit) + lm.TAILS
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        context = rng.integers(0, n, lm.BACK)
+        line = np.concatenate([np.append(context, u) for u in range(n)])
+        at = np.arange(n) * (lm.BACK + 1) + lm.BACK
+        assert math.isclose(np.exp(m.log_probabilities(line, at)).sum(), 1, rel_tol=1e-4)
+
+
+def test_model_learns(spark, lm_fitted):
+    m, known = lm_fitted
+    total, size = sum(known.values()), len(known)
+    gain = []
+    for t in lm_texts(random.Random(2), 60):
+        ws = lm.words(t)
+        line, at = m.windows([m.units(ws)])
+        p = m.log_probabilities(line, at) / math.log(10)
+        for w, u, x in zip(ws, line[at], p):
+            if w in m.unit:
+                gain.append(x - math.log10((known[w] + 0.5) / (total + 0.5 * (size + 1))))
+    assert np.mean(gain) > 0.4
+
+
+def test_scores_match_brute_force(spark, lm_fitted):
+    m, _ = lm_fitted
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(lm_texts(random.Random(3), 40))] + [(50, None, False), (51, "", True), (None, "a1x never seen", False), (1, "a1x", True)]
+    df = spark.createDataFrame([(i, t, b, 1.0) for i, t, b in rows], "doc_id long, text string, l boolean, base_score double")
+    counts = Counter(w for i, t, b in rows if b for w in lm.words(t))
+    tails = len(m.unit)
+    want = []
+    for i, t, _ in rows:
+        units = [m.first_unit] * lm.BACK + [m.unit[w] if w in m.unit else tails + lm.tail(w) for w in lm.words(t)]
+        total = 0.0
+        for k, w in enumerate(lm.words(t)):
+            before = units[k : k + lm.BACK]
+            h = m.c[0] * m.r[before[-1]] + m.c[1] * m.r[before[-2]] + m.c[2] * sum(m.r[u] for u in before[:-2]) / (lm.BACK - 2)
+            u = units[k + lm.BACK]
+            score = m.p @ h + m.a
+            p = score[m.group[u]] - np.log(np.exp(score).sum())
+            if u < tails and m.group[u] >= lm.ALONE:
+                members = m.members[m.group[u] - lm.ALONE].tolist()
+                score = m.q[members] @ h + m.b[members]
+                p += score[members.index(u)] - np.log(np.exp(score).sum())
+            total += p / math.log(10)
+            if u >= tails:
+                total += math.log10((counts[w] + 0.5) / m.mass[u - tails])
+        want.append((str(i), round(total, 2)))
+    for table in (5, 1 << 17):
+        got = sorted((str(r.id), r.score) for r in lm.scored(df, F.col("l"), table=table, model=m).collect())
+        assert [g[0] for g in got] == [w[0] for w in sorted(want)] and np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=0.02)
 
 
 def test_crc(spark):

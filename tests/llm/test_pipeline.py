@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quaestor.llm import bpe, decontaminate, quality, simhash
-from quaestor.llm.queries import TOKENIZER
+from quaestor.llm.queries import QUERIES, TOKENIZER
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,10 +75,47 @@ def test_bpe_round_trip(spark):
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "no id", "x"), (1, "", "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     lib = Tokenizer.from_file(TOKENIZER)
-    for most in (2, 1 << 17):
-        got = bpe.encode(df, TOKENIZER, most=most).collect()
+    for words in (1, 1 << 21):
+        got = bpe.encode(df, TOKENIZER, words=words).collect()
         assert len(got) == len(rows)
         want = sorted((str(i), lib.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
         assert sorted((str(r.id), list(r.ids)) for r in got) == want
         assert all(r.decoded == lib.decode(list(r.ids), skip_special_tokens=False) for r in got)
     assert bpe.digests(df.limit(0), TOKENIZER).count() == 0
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5000):
+        v = rng.integers(0, 1 << rng.integers(1, 28, n)) if n else np.zeros(0, np.int64)
+        data, end = bpe.pack(v)
+        back, at = bpe.unpack(data)
+        assert (back == v).all() and (at == end).all()
+
+
+def test_every_distinct_word_is_encoded_once(spark, monkeypatch):
+    texts = [" ".join(f"word{(i * k) % 97}" for k in range(200)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    config = bpe.read_config(TOKENIZER)
+    chunks = bpe._split(df, config, "doc_id", "text", 500)
+    assert chunks.select("chunk").distinct().count() > 8
+    plan = bpe.encode(df, TOKENIZER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(word") >= 1 and "numbers" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    answers = bpe._encoded(chunks, config).collect()
+    asked = chunks.where("words is not null").selectExpr("chunk", "explode(words) as w").count()
+    assert sum(int(bpe.unpack(np.frombuffer(r.answers, np.uint8))[0][0]) for r in answers) == asked
+
+
+def test_digests_of_the_table(spark, sf):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(TOKENIZER)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op5_bpe"](spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = lib.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
