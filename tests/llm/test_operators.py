@@ -89,7 +89,7 @@ def test_pages_of_the_table(spark, sf):
 
 
 def brute(rows, near):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == len(rows[0][1]) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for q, v in ok:
         if q % 20 == 0:
@@ -100,7 +100,7 @@ def brute(rows, near):
 def test_small_tables_are_exact(spark):
     rnd = random.Random(1)
     rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(4)]) for i in range(150)]
-    rows += [(200, None), (220, [0.0] * 4), (240, [float("nan")] * 4), (260, [1.0, None, 1.0, 1.0]), (None, [1.0] * 4), (280, [float("inf"), 0.0, 0.0, 0.0])]
+    rows += [(200, None), (300, [1.0, 2.0]), (320, [3.0] * 7), (340, []), (220, [0.0] * 4), (240, [float("nan")] * 4), (260, [1.0, None, 1.0, 1.0]), (None, [1.0] * 4), (280, [float("inf"), 0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", 0.5) for i, v in rows], "vec_id long, embedding array<float>, key string, score double")
     got = {}
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
@@ -110,6 +110,18 @@ def test_small_tables_are_exact(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_shards_copies_and_split_buckets_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, [float(rnd.randint(-2, 2)) + 0.25 for _ in range(4)]) for i in range(300)] + [(1000 + i, [1.0] * 4) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "ROWS", 32)
+    monkeypatch.setattr(ann, "ASKING", 3)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    assert {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items()} == brute(rows, 20)
+
+
 def test_recall(spark):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(9000, 24)).astype(np.float32)
