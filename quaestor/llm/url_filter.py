@@ -6,8 +6,8 @@ of query fields) that imply a block with at least the given confidence and suppo
 mining changes no rule: tokens with fewer blocks than the support; all but one of the tokens that stand in the
 same labelled urls (rules get each of them back); tokens that are rules alone or stand in every url, as a longer rule
 with one blocks nothing more. Urls bring all their other tokens, and every rule that contains no other is kept.
-Up to `LITERALS` rules match through an inverted index of literals, more through a join on each rule's
-rarest token; a url is blocked if it holds all tokens of one. Without a match it is allowed.
+Rules match through an inverted index: distinct urls' tokens are joined with each rule's rarest token, and the rules met so
+are verified. A url is blocked if it holds all tokens of one; without a match it is allowed.
 
 Nulls: a null url or one without :// has empty host and path, no tokens, and is allowed. Repeated rows are
 judged each. Null labels don't count; of several labels of an id a block counts. Without labels nothing is mined."""
@@ -22,7 +22,6 @@ from quaestor.llm.common import written
 
 SUPPORT = 20
 CONFIDENCE = 0.8
-LITERALS = 1000
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -115,31 +114,12 @@ def mined(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidenc
 
 
 def mine(pages: DataFrame, labels: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, int]]:
-    """mined() as a list. The strongest come first; ties go to more support, then to fewer and earlier tokens."""
+    """mined() as a list, for a look at it. The strongest come first; ties go to more support, then to fewer and earlier tokens."""
     found = mined(pages, labels, support, confidence)
-    return _listed(found) if found is not None else []
-
-
-def _listed(rules: DataFrame) -> list[tuple[list[str], float, int]]:
-    kept = [(list(r.tokens), r.confidence, r.n) for r in rules.collect()]
+    kept = [(list(r.tokens), r.confidence, r.n) for r in found.collect()] if found is not None else []
     return sorted(kept, key=lambda k: (-k[1], -k[2], len(k[0]), k[0]))
 
 
-def matched(url: Column, rules: list[tuple[list[str], float, int]]) -> Column:
-    """The number of the first mined rule that a url holds all tokens of, else null, through an inverted index."""
-    if not rules:
-        return F.lit(None).cast("int")
-    index: dict[str, list[int]] = {}
-    for i, (need, _, _) in enumerate(rules):
-        for t in need:
-            index.setdefault(t, []).append(i)
-    posting = F.create_map(*(x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
-    sizes = F.array(*(F.lit(len(need)) for need, _, _ in rules))
-    hits = F.flatten(F.filter(F.transform(tokens(url), lambda t: posting[t]), lambda p: p.isNotNull()))
-    whole = F.filter(F.array_distinct(hits), lambda i: F.size(F.filter(hits, lambda x: x == i)) == F.element_at(sizes, i + 1))
-    return F.array_min(whole)
-
-
 def joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined): the tokens of the first rule of mined() that a url of column url holds all tokens of, by a join on
     the rules' rarest tokens; urls without one are left out."""
@@ -149,18 +129,16 @@ def joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("url").agg(first.alias("first")).select("url", F.array_join("first.tokens", " ").alias("mined"))
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, confidence: float = CONFIDENCE, literals: int = LITERALS) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, host, path, rule, mined, verdict) for each row of pages. labels: (id, blocked). mined: the tokens of the
-    mined rule that blocked it, where no given rule fits."""
+    mined rule that blocked it, where no given rule fits. Empty pages give no rows; columns but the two named aren't read."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     found = mined(rows, labels, support, confidence)
     learned = written(found) if found is not None else None
-    if learned is not None and learned.count() > literals:
+    if learned is not None and learned.limit(1).count():
         out = rows.join(joined(rows, learned).withColumnRenamed("mined", "hit"), "url", "left")
     else:
-        few = _listed(learned) if learned is not None else []
-        texts = F.array(*(F.lit(" ".join(need)) for need, _, _ in few)) if few else F.array().cast("array<string>")
-        out = rows.withColumn("hit", F.get(texts, matched(F.col("url"), few)))
+        out = rows.withColumn("hit", F.lit(None).cast("string"))
     out = out.withColumn("given", given(F.col("url"), rules))
     by_mining = F.when(F.col("given").isNull(), F.col("hit"))
     return out.select(
