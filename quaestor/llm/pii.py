@@ -10,19 +10,28 @@ the other half within its alphabet, so that the map is a bijection and equal val
 kind   candidate                         permuted                                   stays valid by
 card   13 to 19 digits, Luhn-valid       all digits but the last                    a new Luhn digit
 iban   country, 2 digits, 11 to 30 more  the account part                           new check digits
-ip     four octets up to 255             the 32 bits, in hexadecimal                construction
+ip     four octets up to 255             the 32 bits, in hexadecimal                construction; leading zeros stay
+ipv6   eight groups, or :: in 3 to 7     the 128 bits, in hexadecimal               construction, in eight groups
 date   y-m-d, d/m/y, d.m.y, 1900-2099;   the day's number in those 200 years;       construction
        m/d/y, m.d.y if the day is over 12  days over 12 among themselves
-phone  + or 00, country, groups          the digits after the country's             pattern
+phone  + or 00, country, groups;         the digits after the country's, however    pattern
+       (ddd) ddd-dddd, ddd-ddd-dddd      they are grouped
 ssn    3-2-4 digits                      all digits                                 pattern
 email  local@host                        letters and digits of the local part       pattern
-token  32 or more hexadecimal digits     the hexadecimal digits                     pattern
+token  32 or more hexadecimal digits     the hexadecimal digits; only digits among  pattern
+                                         themselves
+key    access keys by their prefixes     letters and digits after the prefix        pattern
 
-The key is a parameter; the default is for tests and tables without a secret."""
+Equal values get equal pseudonyms whatever their separators. The key is a parameter; else it is the session's
+spark.quaestor.pii.key or the variable QUAESTOR_PII_KEY. Without one the published default is used, with a warning:
+whoever knows the key can invert the pseudonyms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "quaestor"
@@ -31,14 +40,18 @@ ROUNDS = 8
 # The kinds' patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
+    "ipv6": r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![A-Za-z0-9:]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+|00)[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+|00)[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![.-])[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4}(?![.-][0-9]))(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
+# Country calling codes of one and of two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 PATTERN = "|".join(PATTERNS.values())
 PLACES = f"(?=({PATTERN}))"
 IBAN_SIZES = {
@@ -157,6 +170,8 @@ def kind(match: Column) -> Column:
         .when(match.rlike(whole["token"]), "token")
         .when(match.rlike(whole["iban"]) & F.length(plain).between(15, 34), F.when(_mod97(F.concat(F.substr(plain, F.lit(5), F.lit(40)), F.substr(plain, F.lit(1), F.lit(4)))) == 1, "iban"))
         .when(match.rlike(whole["ip"]), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
+        .when(match.rlike(whole["key"]), "key")
+        .when(match.rlike(whole["ipv6"]), F.when((F.instr(match, "::") == 0) | (F.size(_groups(match)).between(3, 7) & match.rlike("[0-9]")), "ipv6"))
         .when(match.rlike(whole["date"]), F.when(date.between(F.lit(_FIRST).cast("date"), F.lit("2099-12-31").cast("date")), "date"))
         .when(match.rlike(whole["phone"]), F.when(size.between(8, 17), "phone"))
         .when(match.rlike(whole["ssn"]), "ssn")
@@ -170,6 +185,19 @@ def _core(pattern: str) -> str:
     return pattern[head : pattern.rindex("(?!")]
 
 
+def _groups(address: Column) -> Column:
+    """The written groups of an address with colons."""
+    return F.filter(F.split(address, ":"), lambda g: g != "")
+
+
+def _bits(address: Column) -> Column:
+    """An address's 32 hexadecimal digits, :: filled with zeros."""
+    left, right = _groups(F.substring_index(address, "::", 1)), _groups(F.when(F.instr(address, "::") > 0, F.substring_index(address, "::", -1)).otherwise(""))
+    zeros = F.array_repeat(F.lit("0000"), 8 - F.size(left) - F.size(right))
+    full = F.concat(left, zeros, right)
+    return F.lower(F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def _date(match: Column) -> Column:
     return F.coalesce(*(F.try_to_date(match, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy", "MM.dd.yyyy")))
 
@@ -195,13 +223,26 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
     digits, plain = _only(match, "0-9"), _only(match, "A-Z0-9")
     local = F.substring_index(match, "@", 1)
     email = F.concat(feistel(local, "email", key), F.substr(match, F.length(local) + 1, F.length(match)))
-    token = F.when(match.rlike("[a-f]"), feistel(match, "token", key, "0123456789abcdef")).otherwise(feistel(match, "token", key, "0123456789ABCDEF"))
+    hexadecimal = F.when(match.rlike("[a-f]"), feistel(match, "token", key, "0123456789abcdef")).otherwise(feistel(match, "token", key, "0123456789ABCDEF"))
+    token = F.when(match.rlike("^[0-9]+$"), feistel(match, "token", key)).otherwise(hexadecimal)
+    prefix = F.regexp_extract(match, "^(?:AKIA|ASIA|gh[a-z]_|sk_[a-z]+_)", 0)
+    secret_ = F.concat(prefix, feistel(F.substr(match, F.length(prefix) + 1, F.length(match)), "key", key))
     country, account = F.substr(plain, F.lit(1), F.lit(2)), feistel(F.substr(plain, F.lit(5), F.lit(40)), "iban", key)
     check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     iban = _laid(match, F.concat(country, check, account), "A-Z0-9")
-    bits = F.array_join(F.transform(F.split(match, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
+    octets = F.split(match, r"\.")
+    bits = F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
     hidden = feistel(bits, "ip", key, "0123456789abcdef")
-    ip = F.concat_ws(".", *(F.conv(F.substr(hidden, F.lit(2 * i + 1), F.lit(2)), 16, 10) for i in range(4)))
+
+    def octet(i: int) -> Column:
+        value, was = F.conv(F.substr(hidden, F.lit(2 * i + 1), F.lit(2)), 16, 10), F.get(octets, F.lit(i))
+        padded = (F.length(was) > 1) & was.startswith("0") & (F.length(value) < F.length(was))
+        return F.when(padded, F.concat(F.repeat(F.lit("0"), F.length(was) - F.length(value)), value)).otherwise(value)
+
+    ip = F.concat_ws(".", *(octet(i) for i in range(4)))
+    far = feistel(_bits(match), "ipv6", key, "0123456789abcdef")
+    ipv6 = F.concat_ws(":", *(F.substr(far, F.lit(4 * i + 1), F.lit(4)) for i in range(8)))
+    ipv6 = F.when(match.rlike("[A-F]"), F.upper(ipv6)).otherwise(ipv6)
     number = F.date_diff(_date(match), F.lit(_FIRST).cast("date"))
     day, late = (F.date_add(F.lit(_FIRST).cast("date"), n) for n in (_day(number, key), _late_day(number, key)))
     date = (
@@ -211,22 +252,33 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
         .when(F.instr(match, "/") > 0, F.date_format(day, "dd/MM/yyyy"))
         .otherwise(F.date_format(day, "dd.MM.yyyy"))
     )
-    head = F.length(_only(F.regexp_extract(match, r"^(?:\+|00)[0-9]{1,3}(?=[^0-9])|^(?:\+|00)[0-9]", 0), "0-9"))
+    zeros = F.when(match.startswith("00"), 2).otherwise(0)
+    called = F.substr(digits, zeros + 1, F.lit(20))
+    code = F.when(~match.rlike(r"^(?:\+|00)"), 0).when(F.substr(called, F.lit(1), F.lit(1)).isin("1", "7"), 1)
+    head = zeros + code.when(F.substr(called, F.lit(1), F.lit(2)).isin(*CODES.split()), 2).otherwise(3)
     phone = _laid(match, F.concat(F.substr(digits, F.lit(1), head), feistel(F.substr(digits, head + 1, F.lit(20)), "phone", key)), "0-9")
     ssn = _laid(match, feistel(digits, "ssn", key), "0-9")
     payload = feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key)
     card = _laid(match, F.concat(payload, ((10 - _luhn(F.concat(payload, F.lit("0"))) % 10) % 10).cast("string")), "0-9")
     k = kind(match)
     out = match
-    for name, value in (("email", email), ("token", token), ("iban", iban), ("ip", ip), ("date", date), ("phone", phone), ("ssn", ssn), ("card", card)):
+    for name, value in (("email", email), ("key", secret_), ("token", token), ("iban", iban), ("ip", ip), ("ipv6", ipv6), ("date", date), ("phone", phone), ("ssn", ssn), ("card", card)):
         out = F.when(k == name, value).otherwise(out)
     return out
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The key that the session or the environment names, else the published default."""
+    if key := spark.conf.get("spark.quaestor.pii.key", None) or os.environ.get("QUAESTOR_PII_KEY"):
+        return key
+    warnings.warn("no key in spark.quaestor.pii.key: pseudonyms made with the published default can be inverted", stacklevel=3)
+    return KEY
+
+
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with text_col's personal data replaced; all columns stay. A null text stays null, an empty one
-    empty, a text without personal data is returned as it is, however long."""
-    return docs.withColumn(text_col, _replaced(F.col(text_col).cast("string"), key))
+    empty, a text without personal data is returned as it is, however long. An empty table stays empty, repeated rows stay."""
+    return docs.withColumn(text_col, _replaced(F.col(text_col).cast("string"), key or secret(docs.sparkSession)))
 
 
 def _valid(candidate: Column) -> Column:
@@ -246,7 +298,7 @@ def _valid(candidate: Column) -> Column:
         return F.coalesce(F.get(usual, F.lit(0)), F.get(found, F.lit(0)))
 
     known = kind(candidate)
-    return F.when(known.isin("email", "token", "ip", "date", "phone", "ssn", "card"), candidate).when(
+    return F.when(known.isin("email", "key", "token", "ip", "ipv6", "date", "phone", "ssn", "card"), candidate).when(
         candidate.rlike(r"^(?:\+?[0-9]|[A-Z]{2}[0-9]{2})[-A-Z0-9 .()]{7,}$"), _let(valid, best)
     )
 
@@ -282,9 +334,10 @@ def _replaced(text: Column, key: str) -> Column:
     return F.when(text.rlike(PATTERN), F.array_join(pieces, "")).otherwise(text)
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """(id, kind, value, pseudonym, n): the valid personal data of each row of docs and how often it occurs
     there. Null and empty texts have none."""
+    key = key or secret(docs.sparkSession)
     text = F.col(text_col).cast("string")
     found = F.explode(F.transform(F.filter(F.when(text.rlike(PATTERN), _pieces(text)), lambda p: p.value.isNotNull()), lambda p: p.value))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), found.alias("value")).groupBy("id", "value").agg(F.count("*").alias("n"))

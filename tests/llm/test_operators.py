@@ -258,8 +258,33 @@ def test_mined_rules_equal_brute_force(spark):
         least = {c: v for c, v in rules.items() if not any(set(k) < set(c) for n in range(1, len(c)) for k in combinations(c, n) if k in rules)}
         got = url_filter.mine(pages, marks)
         assert least and {tuple(t): (c, n) for t, c, n in got if len(t) <= 3} == least
-        results = [sorted(url_filter.judged(pages, marks, [], id_col="id", literals=n).collect()) for n in (0, 10**6)]
-        assert results[0] == results[1] and any(r.verdict == "block" for r in results[0])
+        sets = {r.id: set(r.t) for r in pages.select("id", url_filter.tokens(F.col("url")).alias("t")).collect()}
+        judged = {r.id: r for r in url_filter.judged(pages, marks, [], id_col="id").collect()}
+        for i, have in sets.items():
+            hit = next((t for t, _, _ in got if set(t) <= have), None)
+            assert judged[i].mined == (" ".join(hit) if hit else None) and judged[i].verdict == ("block" if hit else "allow")
+
+
+def test_twelve_sure_tokens_are_twelve_rules(spark):
+    parts = [f"t{chr(97 + k)}" for k in range(12)]
+    rows = [(i, "http://a.org/" + "/".join(parts)) for i in range(100)] + [(100 + i, f"http://a.org/{i % 7}x") for i in range(100)]
+    pages = spark.createDataFrame(rows + [(900, rows[0][1]), (900, rows[0][1]), (901, None)], "id long, url string")
+    marks = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], "id long, blocked int")
+    rules = url_filter.mine(pages, marks)
+    assert sorted(t for t, _, _ in rules) == [[f"p:{x}"] for x in parts] and all((c, n) == (1.0, 100) for _, c, n in rules)
+    got = [(r.id, r.verdict) for r in url_filter.judged(pages, marks, [], id_col="id").collect()]
+    assert len(got) == 203 and got.count((900, "block")) == 2 and (901, "allow") in got
+    assert url_filter.judged(pages.limit(0), marks, [], id_col="id").count() == 0
+
+
+def test_fp_growth_runs_in_the_query(spark, sf, monkeypatch):
+    from pyspark.ml.fpm import FPGrowth
+
+    seen = []
+    fit = FPGrowth.fit
+    monkeypatch.setattr(FPGrowth, "fit", lambda self, rows, *a: seen.append(rows.count()) or fit(self, rows, *a))
+    QUERIES["op6_url_filter"](spark, sf.replace("0.001", "0.1"))
+    assert seen and seen[0] > 500
 
 
 # quality

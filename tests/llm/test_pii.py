@@ -125,3 +125,40 @@ def test_dates_with_the_month_first(spark):
     assert {k for k, _ in got.values()} == {"date"} and len({p for _, p in got.values()}) == len(got) == 3 * len(days)
     for d in days:
         datetime.datetime.strptime(got[d.strftime("%m/%d/%Y")][1], "%m/%d/%Y")
+
+
+def test_equal_values_are_linked_however_they_are_written(spark):
+    same = [["+49 30 1234567", "+49 301234567", "+4930 1234567", "+49-30-123-4567"], ["(555) 123-4567", "555-123-4567", "555.123.4567", "+1 555 123 4567"], ["192.168.1.10", "192.168.001.010"], ["2001:db8::1:ff", "2001:0DB8:0:0:0:0:1:ff"]]
+    got = images(spark, [v for vs in same for v in vs] + ["1" * 32, "AKIA" + "AB12" * 4, "sk_live_abcDEF0123456789", "a::b", "12:34:56", "::1", "12/31/1999"])
+    digits = lambda v: re.sub(r"[^0-9]", "", v)
+    assert len({digits(got[v][1]) for v in same[0]}) == 1 and digits(got[same[0][0]][1]).startswith("49") and all(got[v][0] == "phone" for v in same[0] + same[1])
+    assert len({digits(got[v][1])[-10:] for v in same[1]}) == 1 and got["(555) 123-4567"][1][0] == "("
+    a, b = (got[v][1] for v in same[2])
+    assert [int(x) for x in a.split(".")] == [int(x) for x in b.split(".")] and [len(x) for x in b.split(".")][2:] == [3, 3]
+    a, b = (got[v][1] for v in same[3])
+    assert a.lower() == b.lower() and re.fullmatch("(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", a) and got["2001:db8::1:ff"][0] == "ipv6"
+    assert re.fullmatch("[0-9]{32}", got["1" * 32][1]) and re.fullmatch("AKIA(?:[A-Z]{2}[0-9]{2}){4}", got["AKIA" + "AB12" * 4][1])
+    assert re.fullmatch("sk_live_[a-z]{3}[A-Z]{3}[0-9]{10}", got["sk_live_abcDEF0123456789"][1])
+    assert all(got[v] == (None, v) for v in ("a::b", "12:34:56", "::1")) and got["12/31/1999"][0] == "date"
+    addresses = [f"10.0.{i // 250}.{i % 250}" for i in range(1500)]
+    assert len({p for _, p in images(spark, addresses).values()}) == 1500
+
+
+def test_new_kinds_in_texts(spark):
+    values = ["(555) 123-4567", "555-123-4567", "AKIA" + "AB12" * 4, "2001:db8::1:ff", "+4930 1234567"]
+    rows = [(i, f"see {v}, or ({v}).") for i, v in enumerate(values)] + [(9, "std::vector<a::b> at 10:20:30, version 1.2.3-4, 555-12-34567, 2020-555-123-4567")]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    images_ = {v: p for v, (_, p) in images(spark, values).items()}
+    for i, v in enumerate(values):
+        assert got[i] == f"see {images_[v]}, or ({images_[v]})." != rows[i][1]
+    assert got[9] == rows[5][1]
+
+
+def test_the_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, CARD)], "doc_id long, text string")
+    one = pii.pseudonymised(df).first().text
+    spark.conf.set("spark.quaestor.pii.key", "another")
+    try:
+        assert one != pii.pseudonymised(df).first().text == pii.pseudonymised(df, key="another").first().text
+    finally:
+        spark.conf.unset("spark.quaestor.pii.key")
