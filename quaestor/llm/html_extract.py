@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import slices
+from quaestor.llm.common import mapped, slices
 
 WIDTH = 4096
 KINDS = 12
@@ -37,6 +37,7 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
     "math maction annotation annotation-xml merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+BOXES = {"ins"}  # inline elements that stand for a block of their own if they have names, as adverts do
 HEAD = set("head html base basefont bgsound link meta title style script noscript noframes template".split())  # what doesn't end a head
 CLOSES = {  # a start tag ends an open element of these names, unless one of the fences is met first
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -50,7 +51,9 @@ _KIND = {t: k for k, ts in enumerate(("", "p", "h1 h2 h3 h4 h5 h6", "li dd dt td
 
 _PARTS = set("article main section aside nav header footer form ul ol table menu dialog".split())
 
-_tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+# a quote opens a value only after an equals sign and if it is closed
+_tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+_none = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _attr = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _names = re.compile(r"[a-z]+|[0-9]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -106,13 +109,13 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                if name in UNSEEN:
+                if name in UNSEEN or name in INLINE and name in hidden:
                     if name in hidden:
                         del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
                         unseen = len(hidden)
                 elif name == "a":
                     links = max(0, links - 1)
-                elif name not in INLINE:
+                elif name not in INLINE or name in BOXES and any(t == name for t, _ in stack):
                     if name in hidden:
                         del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
                         unseen = len(hidden)
@@ -145,15 +148,26 @@ class Page:
                 continue
             if name in VOID:
                 continue
+            if hidden and hidden[-1] == "p" and name in ENDS_P:
+                hidden.pop()
+                unseen = len(hidden)
             if unseen and name != "body":
-                if name not in INLINE and name != "html" and not m[3].rstrip().endswith("/"):
+                if (name not in INLINE or name in hidden) and name != "html" and not m[3].rstrip().endswith("/"):
                     hidden.append(name)
                     unseen = len(hidden)
                 continue
             if name == "body":
                 hidden.clear()
                 unseen = 0
-            if name in INLINE:
+            words, label, shown = self._attributes(m[3])
+            if not shown and name not in ("html", "body"):
+                if not m[3].rstrip().endswith("/"):
+                    hidden.append(name)
+                    unseen = len(hidden)
+                    if name not in INLINE:
+                        leaf = -1
+                continue
+            if name in INLINE and not (name in BOXES and (words or label >= 0)):
                 links += name == "a"
                 continue
             leaf = -1
@@ -161,7 +175,6 @@ class Page:
                 self._close(stack, {"p"}, {"table", "td", "button", "div", "article", "section", "li", "blockquote"})
             if name in CLOSES:
                 self._close(stack, *CLOSES[name])
-            words, label = self._attributes(m[3])
             if name in ("html", "body"):
                 continue
             stack.append((name, self._node(name, stack[-1][1], words, label)))
@@ -176,8 +189,9 @@ class Page:
                 return
 
     @staticmethod
-    def _attributes(source: str) -> tuple[tuple, int]:
-        words, label = [], -1
+    def _attributes(source: str) -> tuple[tuple, int, bool]:
+        """The words of its names, its mark, and whether it is shown."""
+        words, label, shown = [], -1, True
         if source and not source.isspace():
             for name, *values in _attr.findall(source):
                 value = values[0] or values[1] or values[2]
@@ -186,9 +200,11 @@ class Page:
                     words += _names.findall(_camel.sub(" ", value).lower())
                 elif name == "data-main":
                     label = int(value == "1")
-                elif name == "hidden" or name == "aria-hidden" and value == "true":
+                elif name == "aria-hidden" and value == "true":
                     words.append("hidden")
-        return tuple(words), label
+                elif name == "hidden" or name == "style" and _none.search(value):
+                    shown = False
+        return tuple(words), label, shown
 
 
 class _Code(dict):
@@ -395,16 +411,18 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         for _ in range(rnd.choice([0, 0, 3]) if bare else rnd.randint(1, 12)):
             blocks.append(
                 rnd.choices(
-                    [lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}", lambda: f"<h2>{sentence(1, 6)}</h2><p>{prose()}</p>", lambda: "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>",
+                    [lambda: f"<p>{prose()}</p>", lambda: f"<{rnd.choice(['p', 'p', 'p', 'div'])} {rnd.choice(['class', 'id'])}={rnd.choice([word(), word()[:1], 'x', 'lead', 'quote', 'intro', 'p1'])}>{prose()}</{'p'}>".replace("<div", "<p"), lambda: f"<p>{prose()}", lambda: f"<h2>{sentence(1, 6)}</h2><p>{prose()}</p>", lambda: "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>",
                      lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<div>{prose()}</div>", lambda: f"<p><b>{sentence()}<br>", lambda: f"<table><tr><td>{sentence()}</td><td>{word()}</td></tr></table>",
                      lambda: f"<pre>{prose()}</pre>", lambda: f"<section><h3>{word()}</h3><p>{prose()}</p></section>", lambda: f"<figure><figcaption>{sentence()}</figcaption></figure>"],
-                    [10, 2, 2, 1, 1, 1, 1, 0.5, 0.3, 0.7, 0.3],
+                    [10, 2, 2, 2, 1, 1, 1, 1, 0.5, 0.3, 0.7, 0.3],
                 )[0]()
             )
         for kind, chance in (("ad", 0.25), ("aside", 0.15), ("note", 0.1), ("form", 0.05), ("nav", 0.08), ("comment", 0.1)):
             if rnd.random() < chance:
                 at = len(blocks) if kind == "comment" else rnd.randint(0, len(blocks))
                 blocks.insert(at, side(kind))
+        if rnd.random() < 0.12:  # no element around the article: each block is marked
+            return "".join(re.sub(r"^<(\w+)((?: (?!data-main)[^<>]*)?)>", r'<\1\2 data-main="1">', b) if "data-main" not in b.split(">")[0] and b.startswith("<") else b if b.startswith("<") else f'<p data-main="1">{b}</p>' for b in blocks)
         tag = rnd.choice(["article", "article", "main", "div", "div", "section"])
         name = named("main")
         if tag in ("div", "section") and not name:
@@ -416,7 +434,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         return body
 
     out = []
-    for _ in range(n):
+    for i in range(n):
+        if i % 12 == 0:  # nothing but text
+            blocks = [f'<p data-main="1">{prose()}' + rnd.choice(["</p>", ""]) for _ in range(rnd.randint(1, 9))]
+            heading = rnd.choice(["", "", f'<h1 data-main="1">{sentence(2, 9)}</h1>'])
+            out.append(rnd.choice(["{}", "<html><body>{}</body></html>"]).format(heading + "".join(blocks)))
+            continue
         parts = [side(k) for k, c in (("note", 0.2), ("head", 0.6), ("nav", 0.8), ("form", 0.2), ("ad", 0.5)) if rnd.random() < c]
         rnd.shuffle(parts)
         after = [side(k) for k, c in (("aside", 0.4), ("ad", 0.3), ("comment", 0.4), ("note", 0.1), ("form", 0.15)) if rnd.random() < c]
@@ -461,4 +484,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "id long, url string, text string, n_chars long")
+    return mapped(rows, run, "id long, url string, text string, n_chars long")
