@@ -11,7 +11,8 @@ with varied neighbours, so that words of one much copied text don't qualify. Of
 most significant stays, the longest of equals. Words of the starting list have a prior and stay.
 
 Nulls: a null or empty text has no matches and gets the score of none. Repeated rows are scored each; of
-several labels of an id the toxic one counts, null labels don't. Without labels, the priors decide."""
+several labels of an id the toxic one counts, null labels don't. Without labels, the priors decide. An empty table gives
+no rows, and further columns aren't read."""
 
 from __future__ import annotations
 
@@ -25,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import slices
+from quaestor.llm.common import least_hashed, mapped, slices, written
 
 SAMPLE = 12_000
-WORDS = 500
-CANDIDATES = 200_000
 SUPPORT = 5
 ODDS = 1.8
 EVIDENCE = 20.0
 SHORTEST, LONGEST = 3, 14
-HELD = 200_000
+HELD = 100_000
 THRESHOLD = 0.7
 PRIOR = 3.0
 
@@ -129,13 +128,13 @@ def _odds(pos: float, neg: float, toxic: int, other: int) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of about `sample` labelled rows, never over twice as many labels; labels has (id, toxic)."""
+    """(text, toxic) of the rows of at most `sample` labelled ids, those of the least hashes, written; labels has (id, toxic).
+    All rows that share an id count."""
     known = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    parts = 1 << 30
-    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(parts))
-    bounded = known.where(part < min(parts, int(parts * sample / max(1, total)) + 1)).limit(2 * sample)
-    return docs.join(F.broadcast(bounded), "id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    known = written(known.select("id", "toxic", F.xxhash64(F.col("id").cast("string")).alias("hash")))
+    last = least_hashed(known, sample, known.count())
+    bounded = known.where(F.col("hash") <= F.lit(last)).select("id", "toxic") if last is not None else known.limit(0).select("id", "toxic")
+    return written(docs.join(F.broadcast(bounded), "id").select("text", F.col("toxic").cast("int").alias("toxic")))
 
 
 def _beginnings(text: str | None) -> dict[str, int]:
@@ -176,11 +175,11 @@ def _sums(rows: DataFrame, only: frozenset | None = None) -> DataFrame:
                 seen = {}
         yield out()
 
-    found = rows.select("text").mapInArrow(run, "entry string, n long, mask long")
+    found = mapped(rows.select("text"), run, "entry string, n long, mask long")
     return found.groupBy("entry").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("mask")).alias("spots"))
 
 
-def learn(rows: DataFrame, support: int = SUPPORT, odds: float = ODDS, most: int = WORDS) -> tuple[dict[str, float], np.ndarray]:
+def learn(rows: DataFrame, support: int = SUPPORT, odds: float = ODDS) -> tuple[dict[str, float], np.ndarray]:
     """The lexicon's weights (a whole word ends in a space) and the logistic coefficients (bias, sum,
     density) from (text, toxic)."""
     sizes = {bool(r.toxic): r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
@@ -191,7 +190,7 @@ def learn(rows: DataFrame, support: int = SUPPORT, odds: float = ODDS, most: int
         least = max(support, toxic // 100)
         spread = F.col("spots") >= 0.4 * F.least("n", F.lit(40))
         common = _sums(rows.where("toxic > 0")).where(F.col("entry").isin(*start) | ((F.col("n") >= least) & spread))
-        pos = {r.entry: r.n for r in common.orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
+        pos = {r.entry: r.n for r in common.collect()}  # of a bounded sample, in a hundredth of its toxic texts at least
         neg = {r.entry: r.n for r in _sums(rows.where("toxic = 0"), frozenset(pos)).collect()}
         ranked = []
         for entry, p in pos.items():
@@ -204,10 +203,13 @@ def learn(rows: DataFrame, support: int = SUPPORT, odds: float = ODDS, most: int
                 evidence = 2 * (p * np.log(p / (all_ * share)) + (n * np.log(n / (all_ * (1 - share))) if n else 0))
                 if evidence >= EVIDENCE:
                     ranked.append((-evidence, -len(entry), entry, value))
-        chosen: list[str] = []
+        chosen: set[str] = set()
+        begun: set[str] = set()  # the beginnings of the chosen
         for _, _, entry, value in sorted(ranked):
-            if len(chosen) < most and not any(entry.startswith(c) or c.startswith(entry) for c in chosen):
-                chosen.append(entry)
+            beginnings = [entry[:n] for n in range(1, len(entry) + 1)]
+            if entry not in begun and not chosen.intersection(beginnings):
+                chosen.add(entry)
+                begun.update(beginnings)
                 weights[entry] = value
     weights = {w: round(float(v), 6) for w, v in weights.items() if v > 0}
 
@@ -215,25 +217,26 @@ def learn(rows: DataFrame, support: int = SUPPORT, odds: float = ODDS, most: int
         words = automaton(weights)
         for b in slices(batches):
             x = np.array([measures(t, words) for t in b.column(0).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], ["a", "b", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].round(2)), pa.array(x[:, 1].round(2)), b.column(1)], ["a", "b", "y"])
 
-    got = rows.select("text", "toxic").mapInArrow(measure, "a double, b double, y int").toArrow()
-    x, y = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()]), (got.column("y").to_numpy() > 0).astype(float)
-    return weights, _logistic(x, y)
+    cells = mapped(rows.select("text", "toxic"), measure, "a double, b double, y int").groupBy("a", "b", (F.col("y") > 0).cast("int").alias("y")).count()
+    got = cells.orderBy("a", "b", "y").toArrow()  # a table of at most some hundred steps each way
+    a, b, y, n = (got.column(c).to_numpy().astype(float) for c in ("a", "b", "y", "count"))
+    return weights, _logistic(np.column_stack([a, b]), y, n)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, decay: float = 0.02) -> np.ndarray:
-    """Newton's method from, and held by a prior at, coefficients for weights of a few units."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60, decay: float = 0.02) -> np.ndarray:
+    """Newton's method from, and held by a prior at, coefficients for weights of a few units. n: how often a row stands."""
     prior = np.array([-4.0, 2.0, 1.0])
     w = prior.copy()
     if not len(y):
         return w
-    x = np.column_stack([np.ones(len(x)), x])
-    part = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    x, total = np.column_stack([np.ones(len(x)), x]), n.sum()
+    part = n * np.where(y > 0, 0.5 / max(1, (n * y).sum()), 0.5 / max(1, (n * (1 - y)).sum())) * total
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((p - y) * part) + decay * len(y) * 0.01 * (w - prior)
-        h = (x * (p * (1 - p) * part)[:, None]).T @ x + decay * len(y) * 0.01 * np.eye(3)
+        g = x.T @ ((p - y) * part) + decay * total * 0.01 * (w - prior)
+        h = (x * (p * (1 - p) * part)[:, None]).T @ x + decay * total * 0.01 * np.eye(3)
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
     return w
@@ -259,4 +262,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["id", "score", "matched", "found"],
             )
 
-    return base.mapInArrow(run, "id long, score double, matched int, found array<string>")
+    return mapped(base, run, "id long, score double, matched int, found array<string>")
