@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaestor.session import load
 from quaestor.shared import place, shared_dir, written
 
-__all__ = ["bounded", "components", "crc_mod", "least_hashed", "mapped", "place", "shared_dir", "slices", "table", "without", "written"]
+__all__ = ["bounded", "components", "crc_mod", "least_hashed", "mapped", "place", "shared_dir", "slices", "table", "tasks", "without", "written"]
 
 BATCH_BYTES = 4 << 20
 SENT_ROWS = 500_000  # ids that may be sent to every executor: 4 MB of numbers, about 16 MB as a hash table
@@ -74,6 +74,11 @@ def least_hashed(hashes: DataFrame, most: int, total: int) -> int | None:
     return None
 
 
+def tasks(rows: int) -> int:
+    """How many tasks should write so many narrow rows: each file made in a folder costs its task more than some rows do."""
+    return max(8, rows // 250_000)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's least node.
 
@@ -85,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    mark = None
+    mark, few = None, tasks(now.count())
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -95,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = star.select(F.col("u"), F.col("m").alias("v")).union(
             star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        now = written(small.distinct())
+        now = written(small.distinct().coalesce(few))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import components, mapped, slices, without, written
+from quaestor.llm.common import components, mapped, slices, tasks, without, written
 
 SEED = 42
 SHINGLE = 3
@@ -227,10 +227,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to be sent, apart from the rows of repeated ids."""
     found = near_duplicates(docs, id_col, text_col).where("id is not null")
     judged = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stays"), F.count("*").alias("n"))
-    odd = written(judged.where("not stays or n > 1"))
+    odd = written(judged.where("not stays or n > 1").coalesce(tasks(found.count())))
     key = F.col(id_col).cast("long")
     once = without(docs, key, odd.select("id"))
-    repeated = written(odd.where("stays").select(F.col("id").alias("__keep")))
+    repeated = odd.where("stays").select(F.col("id").alias("__keep"))
     if not repeated.limit(1).count():
         return once
     row = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit("")))

@@ -463,3 +463,80 @@ LAYOUTS = [
 @pytest.mark.parametrize("page, want", LAYOUTS)
 def test_layouts(page, want):
     assert html_extract.extract([f"<html><body>{page}</body></html>"], html_extract.trained()) == [want]
+
+
+def _page(body):
+    return html_extract.extract([body], html_extract.trained())[0]
+
+
+def test_hidden_elements_and_adverts_in_an_article():
+    around = "<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One paragraph of it here.</p>{}<p>Another paragraph of it.</p></article><footer>x</footer>"
+    want = "Title One paragraph of it here. Another paragraph of it."
+    for extra in (
+        '<ins class="adsbygoogle">Buy this now, today only.</ins>', "<div hidden><p>Not shown to anyone.</p></div>", '<p style="color:red; display: none">Not shown.</p>',
+        '<div style="visibility:hidden">a<div>b</div>c</div>', "<span hidden>a<span>b</span>c</span>", "<p hidden>unclosed",
+    ):
+        assert _page(around.format(extra)) == want, extra
+    assert _page(around.format("<p>an <ins>added</ins> word</p>")) == want.replace("Another", "an added word Another")
+
+
+def test_stray_quotes_lose_no_text():
+    page = "<article><h1>Title</h1><p>First text of it here.</p><p class=x' >Second text, longer than that.</p><p title=\"it's > that\">Third \"text\" isn't short.</p><p class=\"open>Fourth text is here.</p></article>"
+    assert _page(page) == 'Title First text of it here. Second text, longer than that. Third "text" isn\'t short. Fourth text is here.'
+
+
+def test_plain_pages_and_odd_names():
+    assert _page("<p>Only a paragraph of text.</p><p>And one more, of some length.</p>") == "Only a paragraph of text. And one more, of some length."
+    assert _page("<html><body><p>Some text that stands alone here.</p></body></html>") == "Some text that stands alone here."
+    inner = "<p>Before it there is some text.</p><p class=x>quote trouble isn't what it seems to be</p><p>After it there is more text.</p>"
+    assert _page(f"<nav><a href=/>Home</a></nav><article><h1>Title</h1>{inner}</article>") == "Title Before it there is some text. quote trouble isn't what it seems to be After it there is more text."
+
+
+def test_extracted_empty_table(spark):
+    assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_repeated_labelled_ids_and_bounded_samples(spark):
+    docs = spark.createDataFrame([(i % 7, f"plain words number {i}" + (" you idiot" if i % 7 < 2 else ""), "x") for i in range(300)], "doc_id long, text string, found string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(7)] * 3, "doc_id long, toxic int")
+    rows = toxicity.score(docs, labels, sample=4).collect()
+    assert len(rows) == 300 and all((r.score >= 0.7) == (r.id < 2) for r in rows)
+    assert toxicity.labelled(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), "toxic"), 3).select("text").count() <= 3 * 43
+
+
+def test_quality_of_one_id_and_of_copies(spark):
+    good = "The weather was fine today. We went to the old town and saw the market there."
+    junk = "BUY!!! ### NOW %%% BUY!!! ### NOW $$$ BUY!!!"
+    for rows in ([(1, good if i % 3 else junk, 0) for i in range(300)], [(i, f"{good} It was day {i}." if i % 3 else f"{junk} {i} ###", 0) for i in range(300)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, keep int")
+        kept = [r.text for r in quality.kept(docs, sample=20).collect()]
+        assert sorted(kept) == sorted(t for _, t, _ in rows if t.startswith("The"))
+
+
+def test_weak_labels_equal_brute_force_and_rank_planted_accuracies():
+    rnd = random.Random(9)
+    counts = Counter()
+    hits = [0.9, 0.7, 0.5, 0.3, 0.6, 0.8, 0.4, 0.2]
+    for _ in range(20000):
+        bad = rnd.random() < 0.2
+        counts["".join("b" if bad and rnd.random() < h else "-" if rnd.random() < 0.2 else "g" for h in hits)] += 1
+    posterior, theta = quality.estimate(dict(counts), rounds=30)
+    assert np.argsort(theta[0, :, 0]).tolist() == np.argsort(hits).tolist()  # shrunk to the prior, in the right order
+    prior, start = [0.15, 0.85], [0.15, 0.85]
+    belief = [[{"b": 0.4, "g": 0.4, "-": 0.2}] * 8, [{"b": 0.005, "g": 0.8, "-": 0.195}] * 8]
+    now, n = belief, sum(counts.values())
+    for _ in range(30):
+        mass, post = [[dict.fromkeys("bg-", 0.0) for _ in range(8)] for _ in range(2)], {}
+        total = [0.0, 0.0]
+        for p, k in counts.items():
+            like = [prior[c] * math.prod(now[c][j][v] for j, v in enumerate(p)) for c in range(2)]
+            post[p] = like[1] / sum(like)
+            for c in range(2):
+                total[c] += k * like[c] / sum(like)
+                for j, v in enumerate(p):
+                    mass[c][j][v] += k * like[c] / sum(like)
+        weight = 0.2 * n + 1
+        prior = [(total[c] + weight * start[c]) / (n + weight) for c in range(2)]
+        now = [[{v: mass[c][j][v] + weight * belief[c][j][v] for v in "bg-"} for j in range(8)] for c in range(2)]
+        now = [[{v: x / sum(d.values()) for v, x in d.items()} for d in row] for row in now]
+    assert all(math.isclose(post[p], posterior[p], abs_tol=1e-9) for p in counts)
