@@ -100,3 +100,19 @@ def test_snapshot_diff(spark):
     b = spark.createDataFrame([(1, "x", 5), (3, "z", 3)], "k int, s string, n int")
     got = {(r.k, r.field, r.type) for r in snapshot_diff(a, b, "k", ["s", "n"]).collect()}
     assert got == {(1, "n", "changed"), (2, "s", "deleted"), (2, "n", "deleted"), (3, "s", "added"), (3, "n", "added")}
+
+
+def test_list_rules():
+    change = lambda t, p, d: {"type": t, "path": p, "data": d}
+    assert diff(["a", "b"], ["b", "c"]) == [change("added", [1], "c"), change("deleted", [0], "a")]
+    assert diff(["a", "b"], ["b", "a"]) == [change("changed", [0], ["a", "b"]), change("changed", [1], ["b", "a"])]
+    assert diff(["a", "a"], ["a", "b", "c"]) == [change("changed", [1], ["a", "b"]), change("added", [2], "c")]
+    one, other = {"k": 1, "v": 1, "w": 1}, {"k": 2, "v": 2, "w": 2}
+    assert diff([one], [{**one, "v": 9}]) == [change("changed", [0, "v"], [1, 9])]
+    assert diff([one], [{**one, "v": 9, "w": 9}]) == [change("added", [0], {**one, "v": 9, "w": 9}), change("deleted", [0], one)]
+    moved = diff([one, other], [other, {**one, "v": 9}])
+    assert moved == [change("deleted", [0], one), change("added", [1], one), change("changed", [1, "v"], [1, 9])]
+    assert patch([one, other], moved) == [other, {**one, "v": 9}] and revert([other, {**one, "v": 9}], moved) == [one, other]
+    # a log as published dumps have it: deletions by old indexes, inner paths by new ones
+    log = [change("deleted", [0], {"a": 1}), change("added", [1], {"a": 1}), change("added", [1, "b"], 2), change("deleted", [2], "x")]
+    assert patch([{"a": 1}, "y", "x"], log) == ["y", {"a": 1, "b": 2}] and revert(["y", {"a": 1, "b": 2}], log) == [{"a": 1}, "y", "x"]
