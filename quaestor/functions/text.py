@@ -7,6 +7,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,32 @@ def normalize_name(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
+@lru_cache(maxsize=1)
+def _plain() -> tuple[str, str, dict[str, str]]:
+    """Of all characters that decompose to ASCII ones: those with one, what each becomes, and those with more."""
+    one, many = {}, {"ß": "ss"}
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        c = chr(code)
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[c] = plain
+        elif plain:
+            many[c] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def folded_name(text: Column) -> Column:
+    """normalize_name() as a Column expression, for use within arrays: ß as ss, without accents, other non-ASCII characters and
+    white space, in lower case. Characters that become more than one are rare and looked up one by one."""
+    before, after, many = _plain()
+    table = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    spread = F.when(text.rlike("[" + "".join(map(re.escape, many)) + "]"), wide).otherwise(text)
+    return F.lower(F.regexp_replace(F.translate(spread, before, after), r"[^\x00-\x7f]+|[\s\x0b\x1c-\x1f]+", ""))
+
+
 def normalize_ascii(text: Column) -> Column:
     """Lower-case ASCII letters and digits only; equals the Unicode form on ASCII text."""
     return F.lower(F.regexp_replace(text, "[^0-9A-Za-z]", ""))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.functions.text import folded_name
+
 
 def terms_pattern(query: str) -> str:
     """A pattern that holds on text of which one line has all white-space separated terms, in any order and
@@ -55,7 +57,5 @@ def facet_values(df: DataFrame, columns: Sequence[str], chosen: Mapping[str, Seq
 
 
 def normal_name(text: Column) -> Column:
-    """A name of ASCII letters as it is compared: lower case without white space. For others see functions.text."""
-    return F.lower(F.regexp_replace(text, r"(?U)[\s\x{1c}-\x{1f}]+", ""))
-
-
+    """A name as it is compared: ß as ss, without accents and white space, in lower case."""
+    return folded_name(text)

@@ -43,14 +43,14 @@ def last_element_distinct(t: Tables) -> DataFrame:
 
 
 @query("""with u as (select user_id as k, event_type as type, strftime(ts, '%Y-%m-%d') as item from events
-union all select o_custkey, 'order ' || o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') from orders where o_custkey <= 1000)
+union all select o_custkey, 'order ' || o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') from orders)
 select k, 'type' as facet, type as value, count(*) as n from u group by k, type union all select k, 'item', item, count(*) from u group by k, item""")
 def multi_source_profile(t: Tables) -> DataFrame:
     day = "yyyy-MM-dd"
     return rollup.profile(
         [
             (t.events, F.col("user_id"), F.col("event_type"), F.date_format("ts", day)),
-            (t.orders.where("o_custkey <= 1000"), F.col("o_custkey"), F.concat(F.lit("order "), "o_orderstatus"), F.date_format("o_orderdate", day)),
+            (t.orders, F.col("o_custkey"), F.concat(F.lit("order "), "o_orderstatus"), F.date_format("o_orderdate", day)),
         ],
         "k",
     )

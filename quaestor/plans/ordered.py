@@ -48,14 +48,14 @@ def sliding_error_rate(t: Tables) -> DataFrame:
 
 @query("""select key, kind, ref, ts from (select o_custkey as key, 'placed' as kind, o_orderkey as ref, o_orderdate as ts from orders
 union all select o_custkey, 'shipped', l_orderkey, l_shipdate from lineitem join orders on o_orderkey = l_orderkey
-union all select user_id, event_type, event_id, ts from events) where ts is not null and key <= 200""")
+union all select user_id, event_type, event_id, ts from events) where ts is not null""")
 def event_timeline_union(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey <= 200")
+    o = t.orders
     shipped = t.lineitem.select("l_orderkey", "l_shipdate").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rollup.timeline(
         (o, F.col("o_custkey"), F.lit("placed"), F.col("o_orderkey"), F.col("o_orderdate")),
         (shipped, F.col("o_custkey"), F.lit("shipped"), F.col("l_orderkey"), F.col("l_shipdate")),
-        (t.events.where("user_id <= 200"), F.col("user_id"), F.col("event_type"), F.col("event_id"), F.col("ts")),
+        (t.events, F.col("user_id"), F.col("event_type"), F.col("event_id"), F.col("ts")),
     )
 
 
