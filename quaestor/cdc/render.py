@@ -117,3 +117,55 @@ def as_html(changes: Sequence[Change]) -> str:
         parts = [f"<del>{html.escape(str(old))}</del>" if old is not None else "", f"<ins>{html.escape(str(new))}</ins>" if new is not None else ""]
         out.append(f"<li>{path} {''.join(parts)}</li>")
     return f"<ul>{''.join(out)}</ul>"
+
+
+# The parts of a rendered change log, by template.
+_PARTS = ("added", "deleted", "changed", "indent", "header", "footer", "open", "close", "key", "key_end", "value", "value_end", "title", "title_end")
+TEMPLATES = {
+    name: dict(zip(_PARTS, parts, strict=True))
+    for name, parts in {
+        "ansi": ("\033[32m%s\033[0m", "\033[31m%s\033[0m", "\033[31m%s\033[32m%s\033[0m", "   ", "", "", "", "", "", ": ", "", "", "", ""),
+        "semantic": (
+            "<ins>%s</ins>", "<del>%s</del>", "<del>%s</del><ins>%s</ins>", "", '<div class="ui grid container padded diff">', "</div>", '<div class="ui grid container">', "</div>",
+            '<div class="two wide column">', "</div>", '<div class="fourteen wide column">', "</div>", '<div class="sixteen wide column">\n', "</div>",
+        ),
+        "table": (
+            "<ins>%s</ins>\n", "<del>%s</del>\n", "<del>%s</del>\n<ins>%s</ins>\n", "", '<div class="ui container diff">\n', "</div>\n", '<table class="ui table">\n', "</table>\n",
+            "<tr>\n<td>\n", "</td>\n", "<td>\n", "</td>\n</tr>\n", '<tr>\n<th colspan="2">\n', "</th></tr>\n",
+        ),
+        "mail": (
+            "<ins>%s</ins>\n", "<del>%s</del>\n", '<div class="changed row"><del class="column">%s</del>\n<ins class="column">%s</ins></div>\n', "", '<div class="wrapper">\n', "</div>\n",
+            '<table class="table">\n', "</table>\n", '<tr class="key">\n<td class="td">\n', "</td>\n", '<td class="td">\n', "</td>\n</tr>\n", '<tr>\n<th colspan="2">\n', "</th></tr>\n",
+        ),
+    }.items()
+}
+
+
+def rendered(changes: Sequence[Change], template: str = "ansi") -> str:
+    """Changes as nested parts of a template: a title for each part of a path, a key and values where changes stand. Values
+    are escaped in all but the first template."""
+    t = TEMPLATES[template]
+    shown = str if template == "ansi" else lambda v: html.escape(str(v))
+    out: list[str] = [t["header"]]
+
+    def body(c: Change) -> str:
+        return t["changed"] % (shown(c["data"][0]), shown(c["data"][1])) if c["type"] == "changed" else t[c["type"]] % shown(c["data"])
+
+    def walk(node: Mapping, depth: int) -> None:
+        pad = t["indent"] * depth
+        for step in sorted((k for k in node if k != ""), key=str):
+            below = node[step]
+            if set(below) == {""}:
+                out.extend([pad, t["key"], shown(step), t["key_end"], t["value"], "".join(map(body, below[""])), t["value_end"], "\n" if template == "ansi" else ""])
+            else:
+                out.extend([pad, t["title"], shown(step), t["title_end"], "\n" if template == "ansi" else "", t["open"]])
+                out.extend(body(c) for c in below.get("", ()))
+                walk(below, depth + 1)
+                out.append(t["close"])
+
+    root = tree(changes)
+    out.extend(body(c) for c in root.get("", ()))
+    out.append(t["open"])
+    walk(root, 0)
+    out += [t["close"], t["footer"]]
+    return "".join(out)

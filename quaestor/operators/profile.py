@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -70,3 +71,22 @@ def nested(df: DataFrame, doc: str) -> DataFrame:
 def drop_empty(column: Column) -> Column:
     """A map without entries that are null or empty; 0 and false survive."""
     return F.map_filter(column, lambda k, v: v.isNotNull() & (F.trim(v) != "") & ~v.isin("[]", "{}"))
+
+
+def report(profile: DataFrame, title: str) -> str:
+    """nested()'s rows as an HTML page: each path under its parent with types, percentages and an example. A profile is as large
+    as the schema, not as the table."""
+    rows = sorted(profile.collect(), key=lambda r: (r.path, -r.n, r.type))
+    lines = [f"<h1>Schema of the {html.escape(title)} dataset</h1>", '<div class="schema-legend">Percentages show probability of this field appearing under its parent; of lists, 100 times their mean length.</div>', "<ul>"]
+    for r in rows:
+        depth = r.path.count(".") + r.path.count("[]")
+        lines.append(f'<li style="margin-left:{depth}em"><b>{html.escape(r.path or "(document)")}</b> {r.type} {r.percent:.2f}% <code>{html.escape(r.example or "")}</code></li>')
+    return "\n".join([*lines, "</ul>"])
+
+
+def reports(df: DataFrame, doc: str, title: str, split: str | None = None) -> dict[str, str]:
+    """Reports by name. split: documents last updated (else created) after that time are the title's, those before it are title_v1's."""
+    if split is None:
+        return {title: report(nested(df, doc), title)}
+    at = F.coalesce(F.get_json_object(doc, "$.meta.updated"), F.get_json_object(doc, "$.meta.created"))
+    return {name: report(nested(df.where(part), doc), title) for name, part in ((title, at > split), (f"{title}_v1", at < split))}

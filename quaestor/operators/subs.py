@@ -17,11 +17,20 @@ def recipients(changed: DataFrame, items: DataFrame, subscribers: DataFrame, tex
     by_subject = subject.join(live.where(F.col("type").isin("subject", "subjects")), F.col("__s") == F.col("name")).select("key", "group_id")
     out = by_key.union(by_subject)
     if text:
-        # every term of a search must be in one line of a field: a small list of searches meets each changed row once
-        searches = live.where("type = 'search'").select(F.split(F.trim(F.lower("name")), r"\s+").alias("__terms"), F.col("group_id").alias("__group"))
-        listed = searches.agg(F.collect_list(F.struct("__terms", "__group")).alias("__searches"))
+        # all terms of a search must be in one line of a field. A search meets only the rows that hold the first characters of
+        # its longest term anywhere, by a join; then its terms are looked for
+        searches = live.where("type = 'search' and trim(name) <> ''").select(F.split(F.trim(F.lower("name")), r"\s+").alias("__terms"), F.col("group_id").alias("__group"))
+        longest = F.array_max(F.transform("__terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t
+        searches = searches.withColumn("__gram", F.left(longest, F.lit(3)))
         lines = F.flatten(F.array(*(F.split(F.lower(F.coalesce(t, F.lit(""))), "\n") for t in text)))
-        rows = changed.select("key", lines.alias("__lines")).crossJoin(F.broadcast(listed)).select("key", "__lines", F.explode("__searches").alias("s"))
+
+        def grams(line: Column) -> Column:
+            size = F.length(line)
+            places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+            return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size - i + 1)), lambda n: F.substr(line, i, n))))
+
+        held = changed.select("key", lines.alias("__lines"), F.explode(F.array_distinct(F.flatten(F.transform(lines, grams)))).alias("__gram"))
+        rows = held.join(searches, "__gram").select("key", "__lines", F.struct("__terms", "__group").alias("s"))
         hit = F.exists("__lines", lambda line: F.forall("s.__terms", lambda t: F.contains(line, t)))
         out = out.union(rows.where(hit).select("key", F.col("s.__group")))
     return out.join(who, "group_id").select("key", "email").distinct()

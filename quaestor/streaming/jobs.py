@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,14 @@ STATE = "outcomes array<int>, trips long"
 OUT = "source string, jobs long, trips long, errors long"
 
 
-def breaker_step(outcomes: list[int], trips: int, errors: Iterator[bool]) -> tuple[list[int], int, int]:
-    """(last outcomes, trips, jobs) after some more: over LIMIT errors among the last WINDOW trip, which forgets all."""
+def breaker_step(outcomes: list[int], trips: int, errors: Iterator[bool], idle: Iterator[bool] | None = None) -> tuple[list[int], int, int]:
+    """(last outcomes, trips, jobs) after some more: over LIMIT errors among the last WINDOW trip, which forgets all. So does
+    a job that was queued when its source had none (idle)."""
     n = 0
-    for e in errors:
+    for e, fresh in zip(errors, idle if idle is not None else repeat(False)):
         n += 1
+        if fresh:
+            outcomes = []
         outcomes = [*outcomes, int(e)][-WINDOW:]
         if sum(outcomes) > LIMIT:
             outcomes, trips = [], trips + 1
@@ -26,12 +30,13 @@ def breaker_step(outcomes: list[int], trips: int, errors: Iterator[bool]) -> tup
 
 
 def breaker(jobs: DataFrame) -> DataFrame:
-    """(source, jobs, trips, errors) from a stream of (source, seq, error), updated per micro-batch."""
+    """(source, jobs, trips, errors) from a stream of (source, seq, error) and perhaps idle, updated per micro-batch. A micro-batch's
+    jobs count in the order of seq; files of a stream must hold later jobs than those before."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         outcomes, trips = state.get if state.exists else ([], 0)
         rows = pd.concat(list(frames)).sort_values("seq")
-        outcomes, trips, n = breaker_step(list(outcomes), trips, iter(rows["error"]))
+        outcomes, trips, n = breaker_step(list(outcomes), trips, iter(rows["error"]), iter(rows["idle"]) if "idle" in rows else None)
         state.update((outcomes, trips))
         yield pd.DataFrame([(key[0], n, trips, sum(outcomes))], columns=["source", "jobs", "trips", "errors"])
 
