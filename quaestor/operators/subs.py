@@ -22,12 +22,17 @@ def recipients(changed: DataFrame, items: DataFrame, subscribers: DataFrame, tex
         searches = live.where("type = 'search' and trim(name) <> ''").select(F.split(F.trim(F.lower("name")), r"\s+").alias("__terms"), F.col("group_id").alias("__group"))
         longest = F.array_max(F.transform("__terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t
         searches = searches.withColumn("__gram", F.left(longest, F.lit(3)))
+        sizes = sorted(r[0] for r in searches.select(F.length("__gram")).distinct().collect())  # of 1, 2 and 3: mostly 3 alone
         lines = F.flatten(F.array(*(F.split(F.lower(F.coalesce(t, F.lit(""))), "\n") for t in text)))
 
         def grams(line: Column) -> Column:
-            size = F.length(line)
-            places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-            return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size - i + 1)), lambda n: F.substr(line, i, n))))
+            none = F.array().cast("array<string>")
+
+            def of(n: int) -> Column:
+                places = F.sequence(F.lit(1), F.greatest(F.length(line) - n + 1, F.lit(1)))
+                return F.when(F.length(line) >= n, F.transform(places, lambda i: F.substr(line, i, F.lit(n)))).otherwise(none)
+
+            return F.concat(none, *map(of, sizes))
 
         held = changed.select("key", lines.alias("__lines"), F.explode(F.array_distinct(F.flatten(F.transform(lines, grams)))).alias("__gram"))
         rows = held.join(searches, "__gram").select("key", "__lines", F.struct("__terms", "__group").alias("s"))
