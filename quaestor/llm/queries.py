@@ -4,26 +4,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import ann, bpe, decontaminate, html_extract, lm, pii, quality, simhash, toxicity, url_filter
 from quaestor.llm.common import crc_mod, table
 
-
-
-def _tokenizer() -> str:
-    """The tokenizer's file: QUAESTOR_TOKENIZER, else where the vocabularies' own module says it is, else beside that module."""
-    if there := os.environ.get("QUAESTOR_TOKENIZER"):
-        return there
-    try:
-        import public_tokenizers
-    except ImportError:
-        return "/opt/tokenizers/word_bpe_49k.json"
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-TOKENIZER = _tokenizer()
+#: The tokenizer's file: QUAESTOR_TOKENIZER, else where the vocabularies' own module says it is.
+TOKENIZER = os.environ.get("QUAESTOR_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
