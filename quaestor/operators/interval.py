@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,18 @@ def first_valid(items: Column, at: Column, start: str = "start", end: str = "end
     return F.get(F.filter(items, lambda i: (i[start] <= at) & (at <= i[end])), F.lit(0))
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, start: str, end: str, pos: str, how: str = "left") -> DataFrame:
-    """left with a struct column `match`: right's first row by pos, of the same key, valid at left's date. The
-    join is on the key; the range only filters its rows. left needs a column `row` that names its rows."""
-    item = right.select(key, F.struct(*(F.col(c) for c in right.columns if c != key)).alias("__item"))
+def interval_join(
+    left: DataFrame, right: DataFrame, key: str, at: str, start: str, end: str, pos: str, how: str = "left", period: Callable[[Column], Column] = F.year
+) -> DataFrame:
+    """left with a struct column `match`: right's first row by pos, of the same key, valid at left's date. left needs a column
+    `row` that names its rows. The join is on the key and a period (whole number that grows with the date), so that rows of a
+    hot key meet only those of their own period; right's rows stand in each period of left's that they reach."""
+    low, high = (left.agg(f(period(F.col(at)))).scalar() for f in (F.min, F.max))
+    first, last = F.greatest(period(F.col(start)), low), F.least(period(F.col(end)), high)
+    reached = F.explode(F.when(low.isNotNull() & (first <= last), F.sequence(first, last))).alias("__period")
+    item = right.select(key, F.struct(*(F.col(c) for c in right.columns if c != key)).alias("__item"), reached)
     inside = (F.col(f"__item.{start}") <= F.col(at)) & (F.col(at) <= F.col(f"__item.{end}"))
-    hits = left.select("row", key, at).join(item, key).where(inside)
+    hits = left.select("row", key, at, period(F.col(at)).alias("__period")).join(item, [key, "__period"]).where(inside)
     best = hits.groupBy("row").agg(F.min_by("__item", F.col(f"__item.{pos}")).alias("match"))
     return left.join(best, "row", how)
 

@@ -56,27 +56,45 @@ def ttl_expire(t: Tables) -> DataFrame:
 
 def _documents(t: Tables, later: bool) -> DataFrame:
     k = F.col("p_partkey")
-    words = F.split("p_type", " ")
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
     size = F.when((k % 3 == 0) & F.lit(later), F.col("p_size") + 1).otherwise(F.col("p_size"))
     tags = F.when((k % 5 == 0) & F.lit(later), F.reverse(words)).otherwise(words)
     doc = F.to_json(F.struct(F.col("p_name").alias("name"), size.alias("size"), tags.alias("tags"), F.struct("p_brand", "p_retailprice").alias("about")))
     return t.part.select(k.cast("string").alias("key"), doc.alias("doc"))
 
 
-@query()
+# the documents' two states and the changes between them; each is written as the log and as a column write it
+_STATES = """p as (select p_partkey as k, p_name, p_size, p_brand, p_retailprice, string_split(p_name || ' ' || p_type, ' ') as w from part),
+q as (select *, k % 3 = 0 as sized, case when k % 5 = 0 then list_reverse(w) else w end as v from p),
+c as (select *, case when sized then p_size + 1 else p_size end as size, list_filter(range(1, len(w) + 1), lambda i: w[i] <> v[i]) as moved from q),
+j as (select *, list_concat(case when sized then ['{"data": [' || p_size || ', ' || size || '], "path": ["size"], "type": "changed"}'] else [] end,
+list_transform(moved, lambda i: '{"data": ["' || w[i] || '", "' || v[i] || '"], "path": ["tags", ' || (i - 1) || '], "type": "changed"}')) as logged,
+list_concat(case when sized then ['{"type": "changed", "path": ["size"], "data": [' || p_size || ', ' || size || ']}'] else [] end,
+list_transform(moved, lambda i: '{"type": "changed", "path": ["tags", ' || (i - 1) || '], "data": ["' || w[i] || '", "' || v[i] || '"]}')) as told from c)"""
+
+
+def _stored(updated: str) -> str:
+    """SQL of a document as it is stored after the second state, last written at a time."""
+    return f"""'{{"about": {{"p_brand": "' || p_brand || '", "p_retailprice": ' || p_retailprice || '}}, "changes": {{'
+|| case when len(logged) > 0 then '"2024-02-01T00:00:00": [' || array_to_string(logged, ', ') || ']' else '' end || '}}, "meta": {{"created": "2024-01-01T00:00:00"'
+|| case when len(logged) > 0 then ', "updated": "{updated}"' else '' end || '}}, "name": "' || p_name || '", "size": ' || size || ', "tags": ["' || array_to_string(v, '", "') || '"]}}'"""
+
+
+@query(f"""with {_STATES} select k::varchar as key, 'changed' as type, 'size' as path, '[' || p_size || ', ' || size || ']' as data from c where sized
+union all select k::varchar, 'changed', 'tags.#' || (i - 1), '["' || w[i] || '", "' || v[i] || '"]' from (select *, unnest(moved) as i from c)""")
 def nested_diff(t: Tables) -> DataFrame:
     old, new = _documents(t, False).withColumnRenamed("doc", "old"), _documents(t, True).withColumnRenamed("doc", "new")
-    rows = history.changes(old.join(new, "key"), "old", "new")
+    rows = history.changes(old.join(new, "key").where("old <> new"), "old", "new")  # equal texts have no changes
     return rows.select("key", F.explode("changes").alias("c")).select("key", "c.type", F.array_join("c.path", ".").alias("path"), "c.data")
 
 
-@query()
+@query(f"""with {_STATES} select k::varchar as key, {_stored("2024-02-01T00:00:00")} as doc, '[' || array_to_string(told, ', ') || ']' as changes, null::varchar as error from j""")
 def upsert_with_history(t: Tables) -> DataFrame:
     first = history.upsert(_documents(t, False).limit(0), _documents(t, False), "2024-01-01T00:00:00")
     return history.upsert(first.select("key", "doc"), _documents(t, True), "2024-02-01T00:00:00")
 
 
-@query()
+@query(f"""with {_STATES} select k::varchar as key, {_stored("2024-03-01T00:00:00")} as doc, null::varchar as failed_at from j""")
 def time_travel(t: Tables) -> DataFrame:
     first = history.upsert(_documents(t, False).limit(0), _documents(t, False), "2024-01-01T00:00:00").select("key", "doc")
     second = history.upsert(first, _documents(t, True), "2024-02-01T00:00:00").select("key", "doc")
@@ -84,7 +102,8 @@ def time_travel(t: Tables) -> DataFrame:
     return history.travelled(third, "2024-02-15T00:00:00")
 
 
-@query()
+@query(r"""with m as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') as s from pages)
+select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from m""")
 def html_text(t: Tables) -> DataFrame:
     """All text nodes of a page, white space collapsed; markup goes by pattern, as the page isn't well-formed XML."""
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
@@ -93,7 +112,11 @@ def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.collapse(plain).alias("text"))
 
 
-@query()
+@query("""with recursive e as (select user_id::varchar as source, row_number() over (partition by user_id order by event_id) as i, (event_type = 'error')::int as err from events),
+s as (select distinct source, 0::bigint as i, []::int[] as outcomes, 0::bigint as trips from e
+union all select source, i, case when list_sum(o) > 10 then []::int[] else o end, trips + (list_sum(o) > 10)::bigint
+from (select s.source, e.i, list_append(s.outcomes, e.err)[-50:] as o, s.trips from s join e on e.source = s.source and e.i = s.i + 1))
+select source, i as jobs, trips, coalesce(list_sum(outcomes), 0)::bigint as errors, 0 as batch from s qualify i = max(i) over (partition by source)""")
 def stream_circuit_breaker(t: Tables) -> DataFrame:
     spark, at = t.spark, place(t.spark)
     stream = spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 8).parquet(f"{t.sf_dir}/events.parquet*")

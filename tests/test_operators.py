@@ -154,5 +154,17 @@ def test_random_interval_join_against_a_loop(spark):
     probes = [(i, rnd.randrange(6), rnd.randrange(50)) for i in range(60)]
     right = spark.createDataFrame(spans, "k int, pos int, a int, z int")
     left = spark.createDataFrame(probes, "row int, k int, at int")
-    got = {r.row: r.match and r.match.pos for r in interval.interval_join(left, right, "k", "at", "a", "z", "pos").collect()}
+    got = {r.row: r.match and r.match.pos for r in interval.interval_join(left, right, "k", "at", "a", "z", "pos", period=lambda c: F.floor(c / 10)).collect()}
     assert got == {i: min((p for kk, p, a, z in spans if kk == k and a <= at <= z), default=None) for i, k, at in probes}
+
+
+def test_interval_join_on_a_hot_key_over_years_with_open_ends_and_nulls(spark):
+    days = [f"{y}-{m:02d}-15" for y in range(2015, 2022) for m in range(1, 13)]
+    spans = [(1, i, days[i], "9999-12-31" if i % 9 == 0 else days[min(i + i % 30, len(days) - 1)]) for i in range(len(days))] + [(1, 900, None, "2020-01-01"), (2, 901, "1901-01-01", None)]
+    probes = [(i, 1, d) for i, d in enumerate([*days, "2014-12-31", "2022-01-01", None])] + [(900, 2, "2020-01-01"), (901, None, "2020-01-01")]
+    right = spark.createDataFrame(spans, "k int, pos int, a string, z string").select("k", "pos", F.to_date("a").alias("a"), F.to_date("z").alias("z"))
+    left = spark.createDataFrame(probes, "row int, k int, at string").withColumn("at", F.to_date("at"))
+    got = {r.row: r.match and r.match.pos for r in interval.interval_join(left, right, "k", "at", "a", "z", "pos").collect()}
+    assert got == {i: min((p for kk, p, a, z in spans if kk == k and a and z and d and a <= d <= z), default=None) for i, k, d in probes}
+    assert interval.interval_join(left.limit(0), right, "k", "at", "a", "z", "pos").count() == 0
+    assert interval.interval_join(left, right.limit(0), "k", "at", "a", "z", "pos").where("match is null").count() == len(probes)
