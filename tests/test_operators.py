@@ -117,6 +117,31 @@ def test_subscriptions(spark):
     assert rows(got, "key", "email") == [("d1", "a"), ("d1", "b"), ("d1", "c")]
 
 
+def test_subscriptions_send_only_the_counted_side(spark, tmp_path):
+    table = [("d1", ["s1"], "Green\nfoo bar"), ("d2", ["s1", "s1"], "bar\nfoo"), ("d2", None, "x foo bar"), ("d3", [], None), (None, ["s2"], "a foo bar é")]
+    spark.createDataFrame(table, "key string, subjects array<string>, title string").write.parquet(f"{tmp_path}/t")
+    changed = spark.read.parquet(f"{tmp_path}/t")  # its size is known and small; that of the items isn't
+    items = [("d1", "dossier", 1, None), ("s1", "subject", 2, ""), ("foo bar", "search", 3, None), ("É", "search", 4, None), ("fo x", "search", 1, ""), (" ", "search", 2, None), (None, "search", 2, None), ("d3", "dossier", 5, None)]
+    items = spark.createDataFrame(items, "name string, type string, group_id int, activation_key string")
+    people = spark.createDataFrame([(g, p, None) for g, p in ((1, "a"), (2, "b"), (3, "c"), (4, "d"), (3, "a"))], "group_id int, email string, activation_key string")
+    want = [(None, "a"), (None, "c"), (None, "d"), ("d1", "a"), ("d1", "b"), ("d1", "c"), ("d2", "a"), ("d2", "b"), ("d2", "c")]
+    for most in (100, 0):
+        out = subs.recipients(changed, items, people, [F.col("title")], most=most)
+        assert sorted(((r.key, r.email) for r in out.collect()), key=str) == sorted(want, key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+    none = subs.recipients(changed, items.limit(0), people, [F.col("title")])
+    assert none.count() == 0
+
+
+def test_subscriptions_by_default_send_no_changed_rows(spark, tmp_path):
+    spark.range(9).selectExpr("cast(id as string) key", "array('s') subjects", "'foo bar' title").write.parquet(f"{tmp_path}/t")
+    items = spark.createDataFrame([("s", "subject", 1, None), ("foo", "search", 1, None)], "name string, type string, group_id int, activation_key string")
+    people = spark.createDataFrame([(1, "a", None)], "group_id int, email string, activation_key string")
+    out = subs.recipients(spark.read.parquet(f"{tmp_path}/t"), items, people, [F.col("title")])
+    assert out.count() == 9 and "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_zip_stops_at_a_mismatch(spark):
     a = spark.createDataFrame([(1, i, s) for i, s in enumerate("abc")], "k int, pos int, x string")
     b = spark.createDataFrame([(1, i, s) for i, s in enumerate("axcd")], "k int, pos int, y string")
