@@ -7,9 +7,9 @@ which has vectors, and takes its share of the class by its smoothed count.
 The context of a token is the sum of its two preceding tokens' vectors, each weighted by its position, and of the weighted
 mean of the eight before them. Its product with output vectors, plus biases, scores classes (the `ALONE` most frequent words, groups of
 words that end alike, and the tails) and then the words of the class: this factorisation is there to normalise exactly.
-Noise-contrastive estimation in numpy trains both levels: first on a bounded sample of windows, then every task goes on
-with draws from its own texts, one of `EVERY` tokens, and the tasks' vectors are averaged in Spark, each weighted by how often
-the task has drawn it. So counts, contexts and draws grow with the training texts. Batched matrix products over all contexts
+Noise-contrastive estimation in numpy trains both levels on every token of every training text: in rounds, each on its own share
+of the texts, the tasks make steps on all tokens of theirs, and the tasks' vectors are averaged in Spark, each weighted by how often
+the task has met it. Nothing is learned from a sample. Batched matrix products over all contexts
 give normalised log-probabilities: those of all words and one unknown word a tail sum to one.
 
 The counts of the frequent words, at most `table`, are sent to every task. Other words are summed up per text and shuffled once by
@@ -43,10 +43,14 @@ END = b"\n"  # no word holds white space
 HELD = 100_000
 WIDTH = 16
 BACK = 10  # tokens of context
-NOISE = 8
-BATCH = 1024
-SAMPLE = 200_000  # windows for the first steps
-EVERY = 64
+NOISE, INNER = 32, 16  # draws of classes for all tokens of a step, of words for CHUNK of them
+CHUNK = 64
+BATCH = 8192  # tokens of a step
+STEPS = 400  # of small texts, which have smaller steps
+TASK = 1 << 19  # tokens that a task should have to learn from
+SEEN, TIMES = 8_000_000, 16  # the few tokens of small tables are gone through again, as long as they are no more and so often at most
+ROUNDS = (0, 1, 3, 8)  # bounds of the rounds' eighths of the texts
+RATE = 0.03
 BLOCK = 1 << 14
 
 
@@ -137,6 +141,7 @@ class Model:
     group: np.ndarray = None  # class of each unit
     members: list[np.ndarray] = field(default_factory=list)  # words of each group
     share: np.ndarray = None  # of each unit in the training tokens
+    learned: int = 0  # tokens that steps have been made on, each time counted
 
     @classmethod
     def start(cls, top: list[tuple[bytes, int]], mass: np.ndarray, seed: int = 7) -> Model:
@@ -217,49 +222,89 @@ def _log_softmax(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, chosen: n
     return mine - np.log(score.sum(1, dtype=np.float64))
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
+def _eights(v: np.ndarray) -> np.ndarray:
+    """The sum of each eight consecutive rows."""
+    pairs = v[:-1] + v[1:]
+    fours = pairs[:-2] + pairs[2:]
+    return fours[:-4] + fours[4:]
+
+
 class Trainer:
-    """Noise-contrastive steps (Adam) on a model, and how often each row has been drawn."""
+    """Noise-contrastive steps (Adam) on a model, and how often each row has been met. All tokens of a step are contrasted with the
+    same draws of classes, and CHUNK tokens of a group with the same draws of its words, so that matrix products do it."""
 
     NAMES = ("r", "c", "p", "a", "q", "b")
 
-    def __init__(self, model: Model, seed: int, rate: float):
-        self.m, self.rng, self.rate, self.t = model, np.random.default_rng(seed), rate, 0
+    def __init__(self, model: Model, seed: int):
+        self.m, self.rng, self.t = model, np.random.default_rng(seed), 0
         for k in self.NAMES:
             setattr(model, k, getattr(model, k).astype(np.float32))
         self.mean = {k: np.zeros_like(getattr(model, k)) for k in self.NAMES}
         self.square = {k: np.zeros_like(getattr(model, k)) for k in self.NAMES}
-        self.drawn = {k: np.zeros(len(getattr(model, k))) for k in self.NAMES}
+        self.met = {k: np.zeros(len(getattr(model, k))) for k in self.NAMES}
         n = len(model.unit)
-        self.by_class = np.bincount(model.group, model.share)
-        self.heap = np.cumsum(self.by_class)
+        by_class = np.bincount(model.group, model.share)
+        self.heap = np.cumsum(by_class)
+        inner = model.share[:n] / by_class[model.group[:n]]
+        self.log_noise = {"p": np.log(NOISE * by_class).astype(np.float32), "q": np.log(INNER * inner).astype(np.float32)}
         none = [np.zeros(0)]
         self.grouped = np.concatenate([*model.members, *none]).astype(np.int64)
         # group by group, the group's number plus the cumulated shares in it: one search finds a word of a drawn group
         self.within = np.concatenate([model.group[m[0]] + np.cumsum(model.share[m]) / model.share[m].sum() * (1 - 1e-12) for m in model.members] + none)
-        self.inner = model.share[:n] / self.by_class[model.group[:n]]
-
-    def step(self, windows: np.ndarray) -> None:
-        """One step on windows of BACK + 1 units; the last is the target."""
-        m = self.m
-        target, last, before, far = windows[:, BACK], windows[:, BACK - 1], windows[:, BACK - 2], windows[:, : BACK - 2]
-        mean = m.r[far].mean(1)
-        h = m.c[0] * m.r[last] + m.c[1] * m.r[before] + m.c[2] * mean
+        order = np.lexsort((np.arange(len(model.group)), model.group))
+        self.place = np.empty(len(order) + 1, np.int64)  # of each unit in the order of classes; the start is last
+        self.place[np.append(order, len(order))] = np.arange(len(order) + 1)
+        if len(self.place) < 1 << 16:
+            self.place = self.place.astype(np.uint16)  # sorted by digits
+
+    def step(self, line: np.ndarray, at: np.ndarray) -> None:
+        """One step on the tokens at the places `at` of a line of units, in order; BACK units stand before the first."""
+        m, size = self.m, len(line)
         g = {k: np.zeros_like(getattr(m, k)) for k in self.NAMES}
-        kind = m.group[target]
-        noise = np.minimum(np.searchsorted(self.heap, self.rng.random((len(h), NOISE))), len(self.heap) - 1)
-        dh = self._contrast(g, "p", "a", h, np.column_stack([kind, noise]), self.by_class, len(h))
-        inner = np.flatnonzero((kind >= min(ALONE, len(m.unit))) & (target < len(m.unit)))
-        if len(inner):
-            draws = kind[inner, None] + self.rng.random((len(inner), NOISE))
-            found = self.grouped[np.minimum(np.searchsorted(self.within, draws), len(self.grouped) - 1)]
-            dh[inner] += self._contrast(g, "q", "b", h[inner], np.column_stack([target[inner], found]), self.inner, len(h))
-        np.add.at(g["r"], last, dh * m.c[0])
-        np.add.at(g["r"], before, dh * m.c[1])
-        np.add.at(g["r"], far, (dh * m.c[2] / (BACK - 2))[:, None, :])
-        g["c"][0], g["c"][1], g["c"][2] = (dh * m.r[last]).sum(0), (dh * m.r[before]).sum(0), (dh * mean).sum(0)
-        self.drawn["r"] += np.bincount(windows[:, :BACK].ravel(), minlength=len(m.r))
-        self.drawn["c"] += len(h)
+        order = np.argsort(self.place[line], kind="stable")
+        is_target = np.zeros(size, bool)
+        is_target[at] = True
+        targets = order[is_target[order]]
+        c, eighth = m.c, np.float32(1 / (BACK - 2))
+        v = np.take(m.r, line, axis=0)
+        far = _eights(v[: size - 3]) * eighth  # of the places from BACK on
+        h = np.take(c[0] * v[BACK - 1 : -1] + c[1] * v[BACK - 2 : -2] + c[2] * far, targets - BACK, axis=0)
+        unit = line[targets]
+        kind = m.group[unit]
+        dh = self._told(g, "p", "a", h, kind, len(at))
+        noise = np.minimum(np.searchsorted(self.heap, self.rng.random(NOISE)), len(self.heap) - 1)
+        dh += self._noise(g, "p", "a", h[None], noise[None], len(at))[0]
+        alone = min(ALONE, len(m.unit))
+        i, j = np.searchsorted(kind, (alone, alone + len(m.members)))
+        if i < j:
+            dh[i:j] += self._told(g, "q", "b", h[i:j], unit[i:j], len(at))
+            # each group's tokens, in chunks that are filled up with zeros
+            starts = _runs(kind[i:j])
+            sizes = np.diff(np.append(starts, j - i))
+            chunks = -(-sizes // CHUNK)
+            first = np.cumsum(chunks) - chunks
+            to = np.arange(j - i) + np.repeat(first * CHUNK - starts, sizes)
+            filled = np.zeros((chunks.sum() * CHUNK, h.shape[1]), np.float32)
+            filled[to] = h[i:j]
+            draws = np.repeat(kind[i:j][starts], chunks)[:, None] + self.rng.random((chunks.sum(), INNER))
+            noise = self.grouped[np.minimum(np.searchsorted(self.within, draws), len(self.grouped) - 1)]
+            back = self._noise(g, "q", "b", filled.reshape(-1, CHUNK, h.shape[1]), noise, len(at))
+            dh[i:j] += np.take(back.reshape(filled.shape), to, axis=0)
+        full = np.zeros((size + BACK, h.shape[1]), np.float32)
+        full[targets] = dh
+        mine = full[BACK:size]
+        g["c"][0], g["c"][1], g["c"][2] = (np.einsum("ld,ld->d", mine, x) for x in (v[BACK - 1 : -1], v[BACK - 2 : -2], far))
+        to_context = c[0] * full[1 : size + 1] + c[1] * full[2 : size + 2] + c[2] * eighth * _eights(full)[3 : size + 3]
+        self._summed(g["r"], line[order], np.take(to_context, order, axis=0))
+        self.met["r"] += np.bincount(line, minlength=len(m.r))
+        self.met["c"] += len(at)
         self.t += 1
+        rate = RATE / math.sqrt(1 + self.t / 100)
         for k in self.NAMES:
             mean_, square = self.mean[k], self.square[k]
             mean_ *= 0.9
@@ -271,84 +316,79 @@ class Trainer:
             change *= 1 / math.sqrt(1 - 0.99**self.t)
             change += 1e-6
             np.divide(mean_, change, out=change)
-            change *= self.rate / (1 - 0.9**self.t)
+            change *= rate / (1 - 0.9**self.t)
             getattr(m, k).__isub__(change)
 
-    def _contrast(self, g: dict, vectors: str, bias: str, h: np.ndarray, seen: np.ndarray, noise: np.ndarray, batch: int) -> np.ndarray:
-        """Adds the gradients of telling the first column of `seen` from the noise in the others; returns that by context."""
-        out = getattr(self.m, vectors)[seen]
-        score = np.einsum("bd,bkd->bk", h, out) + getattr(self.m, bias)[seen]
-        d = 1 / (1 + np.exp(-np.clip(score - np.log(NOISE * noise[seen]).astype(np.float32), -40, 40)))
-        d[:, 0] -= 1
-        d /= batch
-        np.add.at(g[vectors], seen, d[:, :, None] * h[:, None, :])
-        np.add.at(g[bias], seen, d)
-        times = np.bincount(seen.ravel(), minlength=len(noise))
-        self.drawn[vectors] += times
-        self.drawn[bias] += times
-        return np.einsum("bk,bkd->bd", d, out)
-
-
-def warmed(model: Model, windows: np.ndarray, rounds: int = 3, rate: float = 0.02) -> Model:
-    """The model after some rounds over a sample of windows, in steps of falling size."""
-    if len(windows):
-        trainer = Trainer(model, 1, rate)
-        steps = max(200, rounds * len(windows) // BATCH)
-        rng = np.random.default_rng(2)
-        for t in range(steps):
-            trainer.rate = rate * (1 - t / (steps + 1))
-            trainer.step(windows[rng.integers(0, len(windows), BATCH)])
-    return model
-
-
-def _draw(model: Model, texts: list[str | None], share: float, rng: np.random.Generator) -> np.ndarray:
-    """Windows of BACK + 1 units that end in drawn tokens of the texts."""
-    found: list[bytes] = []
-    for t in texts:
-        ws = words(t)
-        for at in np.flatnonzero(rng.random(len(ws)) < share).tolist():
-            found += [b""] * (BACK - at) + ws[max(0, at - BACK) : at + 1]
-    starts = np.fromiter((not w for w in found), bool, len(found))
-    return np.where(starts, model.first_unit, model.units(found)).reshape(-1, BACK + 1)
-
-
-def _sampled(texts: DataFrame, model: Model, total: int) -> np.ndarray:
-    """About SAMPLE windows (a binomial number), from all texts alike."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-    share = min(1.0, SAMPLE / max(1, total))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        for b in slices(batches):
-            found = _draw(sent.value, b.column(0).to_pylist(), share, rng).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in found], pa.binary())], ["w"])
-
-    rows = mapped(texts, run, "w binary").toArrow().column("w").to_pylist()
-    return np.frombuffer(b"".join(sorted(rows)), "<i4").reshape(-1, BACK + 1).astype(np.int64)
-
+    def _summed(self, g: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Adds the rows to g by their keys, in runs of equal ones."""
+        starts = _runs(keys)
+        g[keys[starts]] += np.add.reduceat(rows, starts, axis=0)
+
+    def _told(self, g: dict, vectors: str, bias: str, h: np.ndarray, chosen: np.ndarray, batch: int) -> np.ndarray:
+        """Adds the gradients of telling the chosen outputs (in runs) from noise; returns that by context."""
+        out = np.take(getattr(self.m, vectors), chosen, axis=0)
+        score = np.einsum("bd,bd->b", h, out) + (getattr(self.m, bias) - self.log_noise[vectors])[chosen]
+        d = np.float32(-1 / batch) / (1 + np.exp(score))
+        self._summed(g[vectors], chosen, d[:, None] * h)
+        self._summed(g[bias], chosen, d)
+        times = np.bincount(chosen, minlength=len(g[bias]))
+        self.met[vectors] += times
+        self.met[bias] += times
+        out *= d[:, None]
+        return out
 
-def _tuned(texts: DataFrame, model: Model, rate: float = 0.004) -> Model:
-    """The average of what the tasks' models become by steps on one of EVERY tokens of their own texts."""
+    def _noise(self, g: dict, vectors: str, bias: str, h: np.ndarray, noise: np.ndarray, batch: int) -> np.ndarray:
+        """Adds the gradients of telling each chunk's noise from what was chosen; returns that by chunk and context."""
+        out = getattr(self.m, vectors)[noise]
+        d = h @ out.transpose(0, 2, 1)
+        d += (getattr(self.m, bias) - self.log_noise[vectors])[noise][:, None, :]
+        np.negative(d, out=d)
+        np.exp(d, out=d)  # infinity is well
+        d += 1
+        np.divide(np.float32(1 / batch), d, out=d)
+        if vectors == "q":  # contexts that only fill a chunk up count for nothing
+            d *= h.any(2)[:, :, None]
+        flat = noise.ravel()
+        order = np.argsort(flat, kind="stable")
+        self._summed(g[vectors], flat[order], (d.transpose(0, 2, 1) @ h).reshape(len(flat), -1)[order])
+        self._summed(g[bias], flat[order], d.sum(1).ravel()[order])
+        times = np.bincount(flat, minlength=len(g[bias]))
+        self.met[vectors] += times
+        self.met[bias] += times
+        return d @ out
+
+
+def _learned(trainer: Trainer, texts: list[np.ndarray], batch: int, times: int, rng: np.random.Generator) -> None:
+    """Steps on all tokens of the texts (units), so many times over, in another order each time."""
+    with np.errstate(over="ignore"):
+        for _ in range(times):
+            line, at = trainer.m.windows([texts[i] for i in rng.permutation(len(texts))])
+            for mine in np.array_split(at, max(1, round(len(at) / batch))):
+                trainer.step(line[mine[0] - BACK : mine[-1] + 1], mine - (mine[0] - BACK))
+
+
+def _tuned(texts: DataFrame, model: Model, batch: int, times: int) -> Model:
+    """The average of what the tasks' models become by steps on all tokens of their own texts."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
     columns = [f"v{i}" for i in range(WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = TaskContext.get().partitionId()
-        trainer, rng = Trainer(_copied(sent.value), seed, rate), np.random.default_rng((3, seed))
+        trainer, rng = Trainer(_copied(sent.value), seed), np.random.default_rng((3, seed))
         held, size = [], 0
         for b in slices(batches):
-            held.append(_draw(trainer.m, b.column(0).to_pylist(), 1 / EVERY, rng))
-            size += len(held[-1])
+            held += [trainer.m.units(words(t)) for t in b.column(0).to_pylist()]
+            size += sum(map(len, held[-b.num_rows :]))
             if size >= 64 * BATCH:
-                _steps(trainer, np.concatenate(held), rng)
+                _learned(trainer, held, batch, times, rng)
                 held, size = [], 0
         if size:
-            _steps(trainer, np.concatenate(held), rng)
+            _learned(trainer, held, batch, times, rng)
         for k, name in enumerate(Trainer.NAMES):
-            at = np.flatnonzero(trainer.drawn[name])
+            at = np.flatnonzero(trainer.met[name])
             value = getattr(trainer.m, name)[at]
             value = value[:, None] if value.ndim == 1 else value
-            weight = trainer.drawn[name][at]
+            weight = trainer.met[name][at]
             cols = [value[:, i] * weight if i < value.shape[1] else np.zeros(len(at)) for i in range(WIDTH)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(weight), *(pa.array(c.astype(np.float32)) for c in cols)], ["part", "row", "weight", *columns])
 
@@ -361,17 +401,12 @@ def _tuned(texts: DataFrame, model: Model, rate: float = 0.004) -> Model:
         mine = part == k
         x = getattr(out, name)
         x[row[mine]] = np.round(values[mine] if x.ndim > 1 else values[mine, 0], 6)
+    out.learned += int(weight[(part == Trainer.NAMES.index("c")) & (row == 0)].sum())
     return out
 
 
-def _steps(trainer: Trainer, windows: np.ndarray, rng: np.random.Generator) -> None:
-    order = rng.permutation(len(windows))
-    for at in range(0, len(order), BATCH):
-        trainer.step(windows[order[at : at + BATCH]])
-
-
 def _copied(m: Model) -> Model:
-    return Model(m.unit, m.mass, *(getattr(m, k).astype(np.float32) for k in Trainer.NAMES), m.group, m.members, m.share)
+    return Model(m.unit, m.mass, *(getattr(m, k).astype(np.float32) for k in Trainer.NAMES), m.group, m.members, m.share, m.learned)
 
 
 def fit(texts: DataFrame, counts: DataFrame, known: dict[bytes, int], vectors: int = VECTORS) -> Model:
@@ -384,8 +419,22 @@ def fit(texts: DataFrame, counts: DataFrame, known: dict[bytes, int], vectors: i
     for w, n in top:
         mass[tail(w)] -= n + 0.5
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = warmed(Model.start(top, mass), _sampled(texts, Model.start(top, mass), total))
-    return _tuned(texts, model)
+    return _trained(texts, Model.start(top, mass), total)
+
+
+def _trained(texts: DataFrame, model: Model, total: int) -> Model:
+    """The model after steps on all `total` tokens of the texts. Rounds share out the texts by hash, later ones get more; the
+    tasks of a round begin with the average of the round before. Few tokens are gone through by one task, several times."""
+    if not total:
+        return model
+    if total < ROUNDS[-1] * TASK:
+        times = max(1, min(TIMES, SEEN // total))
+        return _tuned(texts.coalesce(1), model, max(256, min(BATCH, total * times // STEPS)), times)
+    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS[-1]))
+    for low, high in zip(ROUNDS, ROUNDS[1:], strict=False):
+        tasks = total * (high - low) // ROUNDS[-1] // TASK
+        model = _tuned(texts.where((share >= low) & (share < high)).coalesce(tasks), model, BATCH, 1)
+    return model
 
 
 def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table: int = TABLE, vectors: int = VECTORS, model: Model | None = None) -> DataFrame:

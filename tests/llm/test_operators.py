@@ -408,6 +408,69 @@ def test_model_learns(spark, lm_fitted):
     assert np.mean(gain) > 0.4
 
 
+def test_model_learns_from_every_token(spark, lm_fitted, monkeypatch):
+    m, known = lm_fitted
+    total = sum(known.values())
+    assert m.learned == total * lm.TIMES  # small: one task, several times
+    texts = spark.createDataFrame([(t,) for t in [*lm_texts(random.Random(1), 800), None, ""]], "text string").repartition(5)
+    top = sorted(known.items(), key=lambda x: (-x[1], x[0]))[:60]
+    monkeypatch.setattr(lm, "TASK", 1000)
+    monkeypatch.setattr(lm, "BATCH", 256)
+    m = lm._trained(texts, lm.Model.start(top, np.full(lm.TAILS, 9.0)), total + 2)
+    assert m.learned == total + 2  # in rounds: each token once
+
+
+def test_steps_follow_the_gradient():
+    """A step's gradients are those of the noise-contrastive loss, by small differences, on tokens of all kinds."""
+    rng = np.random.default_rng(4)
+    m = lm.Model.start([(f"w{i}".encode(), 900 - i) for i in range(300)], np.full(lm.TAILS, 50.0))
+    for k in lm.Trainer.NAMES:
+        setattr(m, k, getattr(m, k) + rng.normal(0, 0.2, getattr(m, k).shape))
+    line, at = m.windows([rng.integers(0, 300 + lm.TAILS, 40), rng.integers(0, 300, 70)])
+    line, at = line[15:], at[np.searchsorted(at, 25) :] - 15  # cut within a text
+    trainer = lm.Trainer(m, 0)
+    noises = []
+
+    def noise(g, vectors, bias, h, drawn, batch, plain=trainer._noise):
+        noises.append((vectors, drawn.copy()))
+        return plain(g, vectors, bias, h, drawn, batch)
+
+    trainer._noise = noise
+    before = {k: getattr(m, k).astype(float) for k in trainer.NAMES}
+    trainer.step(line, at)
+    (_, classes), (_, inner) = noises
+    kind, firsts = np.append(m.group, -1)[line], {}
+    order = at[np.lexsort((at, line[at], kind[at]))]  # the first draws are the first group's
+    for j in order:
+        if lm.ALONE <= kind[j] < lm.ALONE + len(m.members):
+            firsts.setdefault(kind[j], []).append(j)
+    chunk, of = 0, {}
+    for group in sorted(firsts):
+        for i, j in enumerate(firsts[group]):
+            of[j] = chunk + i // lm.CHUNK
+        chunk += -(-len(firsts[group]) // lm.CHUNK)
+    assert chunk == len(inner)
+
+    def loss(x):
+        total = 0.0
+        for j in at:
+            h = x["c"][0] * x["r"][line[j - 1]] + x["c"][1] * x["r"][line[j - 2]] + x["c"][2] * x["r"][line[j - lm.BACK : j - 2]].mean(0)
+            told = [("p", "a", kind[j], classes[0])] + ([("q", "b", line[j], inner[of[j]])] if j in of else [])
+            for v, b, mine, drawn in told:
+                score = lambda u: x[v][u] @ h + x[b][u] - trainer.log_noise[v][u]  # noqa: B023, E731
+                total += np.log1p(np.exp(-score(mine))) + np.log1p(np.exp(score(drawn))).sum()
+        return total / len(at)
+
+    for k in trainer.NAMES:
+        got = trainer.mean[k] / 0.1
+        for place in [tuple(p) for p in np.argwhere(got)[:: max(1, np.count_nonzero(got) // 12)]]:
+            x = {n: v.copy() for n, v in before.items()}
+            x[k][place] += 1e-4
+            up = loss(x)
+            x[k][place] -= 2e-4
+            assert math.isclose((up - loss(x)) / 2e-4, got[place], rel_tol=2e-3, abs_tol=2e-6), (k, place)
+
+
 def test_scores_match_brute_force(spark, lm_fitted):
     m, _ = lm_fitted
     rows = [(i, t, i % 3 > 0) for i, t in enumerate(lm_texts(random.Random(3), 40))] + [(50, None, False), (51, "", True), (None, "a1x never seen", False), (1, "a1x", True)]
