@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.session import load
 from quaestor.shared import place, shared_dir, written
 
-__all__ = ["bounded", "components", "crc_mod", "least_hashed", "mapped", "place", "shared_dir", "slices", "table", "tasks", "without", "written"]
+__all__ = ["bounded", "components", "crc_mod", "gathered", "least_hashed", "mapped", "place", "shared_dir", "slices", "table", "tasks", "without", "written"]
 
 BATCH_BYTES = 4 << 20
 SENT_ROWS = 500_000  # ids that may be sent to every executor: 4 MB of numbers, about 16 MB as a hash table
@@ -76,7 +77,17 @@ def least_hashed(hashes: DataFrame, most: int, total: int) -> int | None:
 
 def tasks(rows: int) -> int:
     """How many tasks should write so many narrow rows: each file made in a folder costs its task more than some rows do."""
-    return max(8, rows // 250_000)
+    return max(min(8, 1 + rows // 2_000), rows // 250_000)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """written(), in as few files as the narrow rows of df need. The tasks of df run as they are, each once: their rows are held
+    on the executors' disks, counted, and written from there. What an executor loses is computed again."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return written(held.coalesce(tasks(held.count())))
+    finally:
+        held.unpersist()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps. Each step is a minimum by node and a distinct, nothing is
     gathered in one place, and every round is written to the shared folder, which cuts the lineage.
     Self-links, repeated links and null ends are dropped; no edges give no rows."""
-    now = written(
+    now = gathered(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import components, mapped, slices, tasks, without, written
+from quaestor.llm.common import components, gathered, mapped, slices, tasks, without, written
 
 SEED = 42
 SHINGLE = 3
@@ -183,7 +183,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     names = ["a", "b", "home", "block"]
     entries = mapped(fps.where("fp is not null").select("fp").distinct(), spread, "anchor long, fp long, home boolean")
     sorted_ = entries.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    first = written(mapped(sorted_, compare, "a long, b long, home boolean, block long"))
+    first = gathered(mapped(sorted_, compare, "a long, b long, home boolean, block long"))
     near = first.where("block is null").select("a", "b")
     large = first.where("block is not null").select(F.col("a").alias("anchor"), F.col("b").alias("fp"), "home", "block")
     last = large.groupBy("anchor").agg(F.max("block").alias("most"))
@@ -211,12 +211,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and are linked like any other. Rows that share an id keep one
     row each; a null id is never a component's name unless all its members' ids are null. An empty table
     gives no rows, and further columns of docs are not read."""
-    base = written(fingerprints(docs, id_col, text_col))
+    base = gathered(fingerprints(docs, id_col, text_col))
     classes = base.groupBy("fp").agg(F.min("id").alias("least"))
     root = components(links(base))
     joined = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return base.join(named, "fp").select("id", "fp", "component")
+    return base.join(named, "fp").select("id", "fp", "component").coalesce(tasks(base.count()))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from quaestor.llm import simhash
+from quaestor import shared
+from quaestor.llm import common, simhash
 
 
 def brute(text):
@@ -137,3 +140,30 @@ def test_links_over_bit_63(spark):
     fps = spark.createDataFrame([(x,) for s in signed for x in s], "fp long")
     for block in (simhash.BLOCK, 1):
         assert {frozenset((r.a, r.b)) for r in simhash.links(fps, block).collect()} == near
+
+
+def files(path):
+    return len(list(Path(urlparse(path).path).glob("part-*")))
+
+
+def test_many_partitions_are_written_as_few_files(spark):
+    df, rows = fixture(spark)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = len(shared._written)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = simhash.near_duplicates(df.repartition(30))
+        got = sorted(((r.id, r.fp % 2**64, r.component) for r in out.collect()), key=str)
+        assert out.rdd.getNumPartitions() == 1
+        many = spark.range(60_000).repartition(30).withColumn("task", F.spark_partition_id())
+        again = common.gathered(many)
+        assert again.select("task").distinct().count() == 30 and again.select("id").distinct().count() == again.count() == 60_000
+        assert not many.is_cached
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(files(path) for _, path in shared._written[before:]) <= 8
+    assert sum(files(path) for _, path in shared._written[before:-1]) <= 12
+    fps = [(i, simhash.fingerprint(t)) for i, t in rows]
+    assert got == sorted(((i, f, c) for (i, f), c in zip(fps, brute_components(fps))), key=str)
